@@ -136,7 +136,7 @@ class Encoder:
 
     ODD = re.compile(r"^\s|\s\s|\s$")
     CUT = re.compile(r"(?<=\S)(?= \S)")
-    MOST_UNITS, MOST_CHARS = 400_000, 16_000_000
+    MOST_UNITS, MOST_CHARS = 1_200_000, 16_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -162,24 +162,29 @@ class Encoder:
             self.first.clear()
             self.later.clear()
             self.held = 0
-        split = []
+        known: list[list[bytes | None]] = []
+        unknown: list[list[str]] = []  # the units of texts that hold one that isn't remembered
+        get, first = self.later.get, self.first.get
         for text in texts:
             if not text:
-                split.append([])
+                units = []
             elif self.ODD.search(text):
-                first, *rest = self.CUT.split(text)
-                split.append([first, *[u[1:] for u in rest]])
+                start, *rest = self.CUT.split(text)
+                units = [start, *[u[1:] for u in rest]]
             else:
-                split.append(text.replace("\n", " \n").split(" "))
-        first = {units[0] for units in split if units}.difference(self.first)
-        later: set[str] = set()
-        for units in split:
-            later.update(units[1:])
-        later.difference_update(self.later)
-        self._learn(self.first, first, spaced=False)
-        self._learn(self.later, later, spaced=True)
-        get = self.later.__getitem__
-        return [self.first[units[0]] + b"".join(map(get, units[1:])) if units else b"" for units in split]
+                units = text.replace("\n", " \n").split(" ")
+            found = list(map(get, units))
+            if units:
+                found[0] = first(units[0])
+            known.append(found)
+            unknown.append(units if None in found else [])
+        self._learn(self.first, {u[0] for u, k in zip(unknown, known, strict=True) if u and k[0] is None}, spaced=False)
+        missing = {x for u, k in zip(unknown, known, strict=True) if u for x, v in zip(u[1:], k[1:], strict=True) if v is None}
+        self._learn(self.later, missing, spaced=True)
+        for units, found in zip(unknown, known, strict=True):
+            if units:
+                found[:] = [self.first[units[0]], *map(self.later.__getitem__, units[1:])]
+        return [b"".join(found) for found in known]
 
 
 _encoders: dict[str, Encoder] = {}
