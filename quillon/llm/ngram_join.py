@@ -165,7 +165,7 @@ def sketch_keys(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     out = []
     for band, most in bands(len(s)):
         n = int(np.ceil(PIECES_PER_SIZE * (1 << band)))
-        spread = mix(s + _U(band) * _PLACE[1])
+        spread = mix(s + _U(band * int(_PLACE[1]) % (1 << 64)))
         piece = ((spread >> _U(32)) * _U(n)) >> _U(32)
         order = np.argsort(piece, kind="stable")
         piece, value = piece[order], spread[order]
@@ -285,7 +285,7 @@ def candidates(texts: DataFrame, keys_of, bits: int, name: str) -> DataFrame:
         n, x = len(chunks), pairs.view(np.int64)
         return pd.DataFrame({
             "x": pd.array([*x[:, 0].tolist(), *[None] * n], "Int64"), "y": pd.array([*x[:, 1].tolist(), *[None] * n], "Int64"),
-            "k": pd.array([*[None] * len(x), *[k for k, _ in chunks]], "Int64"), "ids": [*[None] * len(x), *[i for _, i in chunks]],
+            "k": pd.array([*[None] * len(x), *[k for k, _ in chunks]], "Int64"), "ids": pd.Series([*[None] * len(x), *[i for _, i in chunks]], dtype=object),
         })
 
     packed = texts.select("t").mapInArrow(emit, "bucket int, k long, blob binary")
