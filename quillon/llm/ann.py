@@ -35,8 +35,8 @@ from .common import bounded_sample, materialized
 
 #: Centroids are fitted on at most so many vectors, and there are at most so many.
 MOST_FITTED, MOST_LISTS = 20_000, 4096
-#: Share of the lists that a query probes, and the least number.
-PROBED, LEAST_PROBED = 0.2, 8
+#: A query probes as many lists as hold this share of the true neighbours of ``MOST_TRIED`` vectors within the sample, and the least number.
+COVERED, MOST_TRIED, LEAST_PROBED = 0.985, 200, 8
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
 COLUMNS = 16
 #: Standard errors that a partial distance may be off before a candidate is abandoned.
@@ -86,6 +86,23 @@ def _nearest(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
+def lists_to_probe(sample: np.ndarray, centroids: np.ndarray, k: int, covered: float = COVERED) -> int:
+    """How many nearest lists hold the share ``covered`` of the k nearest others, for vectors of the sample.
+
+    The sample is thinner than the whole, so its neighbours lie farther apart: the number is on the safe side.
+    """
+    own = _nearest(sample, centroids, 1)[:, 0]
+    tried = np.linspace(0, len(sample) - 1, min(MOST_TRIED, len(sample))).astype(int)
+    places = np.argsort(_nearest(sample[tried], centroids, len(centroids)), axis=1)
+    ranks = []
+    for i, at in enumerate(tried):
+        d = ((sample - sample[at]) ** 2).sum(axis=1)
+        d[at] = np.inf
+        near = np.argsort(d)[: min(k, len(sample) - 1)]
+        ranks += places[i, own[near]].tolist()
+    return 1 + int(np.quantile(ranks, covered, method="higher")) if ranks else 1
+
+
 class Block:
     """Vectors of one list, rotated and laid out in blocks of columns."""
 
@@ -129,7 +146,7 @@ def search(
     k: int = 10,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    probed: float = PROBED,
+    probed: float | None = None,
     least_probed: int = LEAST_PROBED,
     most_lists: int = MOST_LISTS,
 ) -> DataFrame:
@@ -157,7 +174,8 @@ def search(
     centroids = fit_centroids(sample, lists)
     lists = len(centroids)
     shared = spark.sparkContext.broadcast((centroids, rotation(size)))
-    n_probed = min(lists, max(least_probed, math.ceil(probed * lists)))
+    wanted = lists_to_probe(sample, centroids, k) if probed is None else math.ceil(probed * lists)
+    n_probed = min(lists, max(least_probed, wanted))
 
     def assign(n: int, keep: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

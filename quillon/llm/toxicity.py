@@ -113,6 +113,8 @@ def lattice(written: str) -> list[list[tuple[str, float]]]:
             options = [(ch, 0.0)] + ([("", 0.4)] if ch == before else [])
         elif ch in LEET:
             options = [(x, 0.7) for x in LEET[ch]] + [("", 3.0 if ch != before else 0.7)]
+        elif ch == " ":
+            options = [("", 0.3), (" ", 2.0)]  # letters set apart, or words of one letter
         else:
             options = [("", 1.0)]
         out.append(options)

@@ -129,9 +129,9 @@ class Assembler:
             self.found += [x for x in [self.feed(again)] if x]
         return None
 
-    def tail(self) -> bytes:
-        """Bytes of a record that the range did not complete."""
-        return b"".join(self.raw) if self.open is not None else b""
+    def tail(self) -> list[bytes]:
+        """Pieces of a record that the range did not complete, or of what may be one."""
+        return self.raw if self.open is not None else []
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
@@ -190,8 +190,9 @@ def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame
         at, state, fresh = None, Assembler(), True
 
         def leave() -> list[tuple]:
-            rest = [(0, b"".join(state.orphans)), (1, state.tail())]
-            return [(*[None] * 7, *at, part, raw) for part, raw in rest if raw]
+            # Part 0 goes on from the range before, and so does what follows it (1) unless a record has ended between (2).
+            rest = [(0, state.orphans), (2 if state.aligned else 1, state.tail())]
+            return [(*[None] * 7, *at, part, raw) for part, raw in rest if raw or part == 2]
 
         for batch in batches:
             rows = []
@@ -211,26 +212,25 @@ def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame
         if at and (rows := leave()):
             yield batch_of(rows)
 
-    schema = RECORD + ", file string, start long, part int, raw binary"
+    schema = RECORD + ", file string, start long, part int, raw array<binary>"
     found = materialized(pieces.mapInArrow(assemble, schema), "warc-read")
     whole = found.where("file IS NULL").select(*names[:7])
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = None, []
+        state, rows = Assembler(), []
         for _, part, raw in sorted(zip(pdf.start, pdf.part, pdf.raw, strict=True), key=lambda x: x[:2]):
-            if part == 1:
+            if part == 2:
                 state = Assembler()
-                state.feed(bytes(raw))
-            elif state is not None:
-                done = state.feed(bytes(raw))
-                if done is not None:
-                    state = None
-                    if found := row(done):
-                        rows.append(found[:7])
+            for piece in raw:
+                done = [state.feed(bytes(piece)), *state.found]
+                state.found.clear()
+                rows += [found[:7] for x in done if x and (found := row(x))]
         return pd.DataFrame(rows, columns=names[:7])
 
     # Only what ranges left over: nothing, but for false magics at the end of a range.
-    joined = found.where("file IS NOT NULL").select("file", "start", "part", "raw").groupBy("file").applyInPandas(stitch, RECORD)
+    left = found.where("file IS NOT NULL").select("file", "start", "part", "raw")
+    some = left.where(F.size("raw") > 0).select("file").distinct()
+    joined = left.join(some, "file", "left_semi").groupBy("file").applyInPandas(stitch, RECORD)
     return whole.unionByName(joined)
 
 
