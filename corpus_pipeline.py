@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.llm import langid, line_dedup, ngram_join, pieces
 from quillon.llm.common import materialized, table
 from quillon.llm.decontaminate import decontaminate
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those that the classifier rejects go."""
+    return langid.identify(docs, langid.fit(docs), drop=True)
+
+
+def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that are boilerplate of its source; n_chars follows the text."""
+    kept = line_dedup.without_boilerplate(docs)
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(f"page.`{c}`").alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of linked ones."""
+    return ngram_join.keep_one(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), drop=True)
 
 
-STAGES = [("benchmark_decontamination", benchmark_decontamination)]
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's pieces, and whether they give its text back."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("boilerplate_lines", boilerplate_lines),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("piece_ids", piece_ids),
+]
 
-#: The stages hold a trained model and a tokenizer, which SQL can't express.
+#: The first stage is a trained classifier and the last a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 

@@ -46,7 +46,7 @@ _SIGNS = "".join(re.escape(c) for c in LEET)
 MIXED = re.compile(rf"[^\W\d_][^\s]*[{_SIGNS}]|[{_SIGNS}][^\s]*[^\W\d_]")
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){3,}(?![^\W_])")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
-_EDGES = "!|+*$().,;:?\"'-_"
+_EDGES, _BEFORE = "!|+*$().,;:?\"'-_", ".,;:?\"'-_"
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 # Letters a-z are 1 to 26, bytes of other characters 27, all else 0.
 _CODE = bytes(b - 96 if 97 <= b <= 122 else 27 if b >= 128 else 0 for b in range(256))
@@ -173,7 +173,7 @@ class Model:
         disguised = set()
         if MIXED.search(low):
             for token in low.split():
-                bare = token.strip(_EDGES)
+                bare = token.rstrip(_EDGES).lstrip(_BEFORE)
                 if bare and not bare.isalpha() and MIXED.search(bare):
                     disguised.add(bare)
         disguised.update(m[0] for m in SPACED.finditer(low))
@@ -193,60 +193,70 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, total))))
 
 
-def features(words: set[bytes]) -> set[tuple[int, bytes]]:
-    """(0, word) and (n, its first n bytes)."""
-    out = {(0, w) for w in words}
+def features(words: set[bytes]) -> set[bytes]:
+    """A length and so many first bytes of a word; the length 0 stands for whole words."""
+    out = {b"\0" + w for w in words}
     for n in BEGINNINGS:
-        out.update((n, w[:n]) for w in words if len(w) >= n)
+        out.update(bytes([n]) + w[:n] for w in words if len(w) >= n)
     return out
 
 
 def train(toxic: list[str], clean: list[str], share_toxic: float, counts: np.ndarray) -> Model:
-    """From texts of either label, the share of toxic ones among all labels, and the corpus' trigrams."""
+    """From texts of either label, the share of toxic ones among all labels, and the corpus' trigrams.
+
+    Only counts of features are held, never the features of each text.
+    """
     base = CharacterModel(counts)
     model = Model(base.costs)
     if not toxic or not clean:
         model.known = False
         return model
-    bad = [features(model.tokens(t)) for t in toxic]
-    in_bad = Counter(f for fs in bad for f in fs)
-    in_bad = {f: n for f, n in in_bad.items() if n >= 3}
-    good = [{f for f in features(model.tokens(t)) if f in in_bad} for t in clean]
-    in_good = Counter(f for fs in good for f in fs)
-
-    def weight(f: tuple[int, bytes]) -> float:
-        p, q = in_bad[f] + 0.5, in_good[f] + 0.5
-        return (math.log(p / (len(bad) + 1)) - math.log(q / (len(good) + 1))) / math.sqrt(1 / p + 1 / q)
+    in_bad: Counter[bytes] = Counter()
+    for t in toxic:
+        in_bad.update(features(model.tokens(t)))
+    in_bad = Counter({f: n for f, n in in_bad.items() if n >= 3})
+    in_good: Counter[bytes] = Counter()
+    for t in clean:
+        in_good.update(features(model.tokens(t)) & in_bad.keys())
+
+    def weight(f: bytes) -> float:
+        """Likelihood ratio of the feature's counts against no difference; 0 where clean texts have it more often."""
+        p, q = in_bad[f], in_good[f]
+        share = len(toxic) / (len(toxic) + len(clean))
+        expected = (p + q) * share
+        return p * math.log(p / expected) + (q * math.log(q / (p + q - expected)) if q else 0.0) if p > expected else 0.0
 
     scored = sorted(((weight(f), f) for f in in_bad), reverse=True)
-    chosen = [f for z, f in scored[:MOST_FEATURES] if z > 2.5]
+    chosen = [f for g, f in scored[:MOST_FEATURES] if g > 4.0]
+    del scored, in_bad, in_good
     index = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(bad) + len(good), len(chosen)), np.float32)
-    for i, fs in enumerate([*bad, *good]):
-        x[i, [index[f] for f in fs if f in index]] = 1
+    x = np.zeros((len(toxic) + len(clean), len(chosen)), np.float32)
+    for i, t in enumerate([*toxic, *clean]):
+        x[i, [index[f] for f in features(model.tokens(t)) & index.keys()]] = 1
     y = np.zeros(len(x), np.float32)
-    y[: len(bad)] = 1
-    del bad, good
-    w, b = np.zeros(len(chosen), np.float32), 0.0
-    vw, vb = np.zeros_like(w), 0.0
-    for _ in range(400):
-        error = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        vw = 0.9 * vw - 0.5 * (x.T @ error / len(x) + 2e-4 * w)
-        vb = 0.9 * vb - 0.5 * float(error.mean())
-        w, b = w + vw, b + vb
+    y[: len(toxic)] = 1
+    # Adam on the logistic loss with a small quadratic penalty.
+    theta = np.zeros(len(chosen) + 1, np.float64)
+    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, 401):
+        error = 1 / (1 + np.exp(-np.clip(x @ theta[1:].astype(np.float32) + theta[0], -30, 30))) - y
+        gradient = np.concatenate([[error.mean()], error.astype(np.float32) @ x / len(x) + 2e-5 * theta[1:]])
+        m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.999 * m2 + 0.001 * gradient**2
+        theta -= 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+    w, b = theta[1:], float(theta[0])
     sampled = len(toxic) / (len(toxic) + len(clean))
     share = min(max(share_toxic, 1e-6), 1 - 1e-6)
     model.bias = b + math.log(share / (1 - share)) - math.log(sampled / (1 - sampled))
     for f, value in zip(chosen, w.tolist(), strict=True):
         if f[0]:
-            model.beginnings.setdefault(f[0], {})[f[1]] = value
+            model.beginnings.setdefault(f[0], {})[f[1:]] = value
         else:
-            model.words[f[1]] = value
+            model.words[f[1:]] = value
     # Disguised strings are likelier words of the lexicon than chance makes them.
     lexicon = [word.decode("utf-8", "ignore") for word, value in model.words.items() if value > 0.5 and len(word) > 3]
     if lexicon:
         model.costs = base.mixed_with(CharacterModel(trigram_counts(lexicon)), 0.5).costs
-        model.memo.clear()
+    model.memo.clear()
     return model
 
 
