@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -90,7 +91,7 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-_matchers: dict[tuple[int, int], Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
 def decontaminate(
@@ -116,7 +117,7 @@ def decontaminate(
     if size > most_item_bytes:
         raise ValueError(f"the items have {size} bytes, over {most_item_bytes}; scan them in parts")
     shared = spark.sparkContext.broadcast([tuple(r) for r in wanted.collect()])
-    key = (shared.id if hasattr(shared, "id") else id(shared), window)
+    key = uuid.uuid4().hex  # of this call, for the memo of a worker that outlives it
 
     def matcher() -> Matcher:
         if key not in _matchers:

@@ -177,7 +177,7 @@ def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame
         .select(F.col("value").cast("binary").alias("v"), "_metadata.file_path", "_metadata.file_block_start")
     )
     names = ["record_type", "record_id", "refers_to", "target_uri", "payload_bytes", "payload_digest", "payload", "file", "start", "part", "raw"]
-    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.binary())]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
