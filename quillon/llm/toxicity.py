@@ -176,7 +176,8 @@ class Model:
                 bare = token.rstrip(_EDGES).lstrip(_BEFORE)
                 if bare and not bare.isalpha() and MIXED.search(bare):
                     disguised.add(bare)
-        disguised.update(m[0] for m in SPACED.finditer(low))
+        for m in SPACED.finditer(low):  # a word of one letter may stand before or after
+            disguised.update((m[0], m[0][2:], m[0][:-2]))
         if REPEATED.search(low):
             disguised.update(w.strip(_EDGES) for w in low.split() if REPEATED.search(w))
         for written in disguised:
@@ -238,9 +239,9 @@ def train(toxic: list[str], clean: list[str], share_toxic: float, counts: np.nda
     # Adam on the logistic loss with a small quadratic penalty.
     theta = np.zeros(len(chosen) + 1, np.float64)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, 401):
+    for step in range(1, 701):
         error = 1 / (1 + np.exp(-np.clip(x @ theta[1:].astype(np.float32) + theta[0], -30, 30))) - y
-        gradient = np.concatenate([[error.mean()], error.astype(np.float32) @ x / len(x) + 2e-5 * theta[1:]])
+        gradient = np.concatenate([[error.mean()], error.astype(np.float32) @ x / len(x) + 4e-6 * theta[1:]])
         m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.999 * m2 + 0.001 * gradient**2
         theta -= 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     w, b = theta[1:], float(theta[0])
