@@ -12,8 +12,8 @@ D = (a + b) / 7 elements.
   them with every partner.  A pair belongs to the band of its smaller set, so a
   set is sketched for its own band and, where a partner may be in it, for the
   one below.  Sets meet by (band, piece, XOR).
-* A second sketch of 1024 parity bits and the sizes rule candidates out, and
-  the rest are verified on their texts.
+* A second sketch, of four parity bits to an element, and the sizes rule
+  candidates out, and the rest are verified on their texts.
 
 Skew: equal sets are one node from the start.  A key that more than ``HEAVY``
 nodes share (a passage that many documents hold, a large group of near copies)
@@ -21,8 +21,8 @@ pairs nobody.  A set whose other keys are still more than D needs no such key;
 what it is left with less is joined again by single elements, of which D' =
 size / 4 + 1 rare ones are enough; and sets that are made of frequent elements
 almost wholly, as large groups of near copies are, meet their elements' smallest
-node only (a star), after which just those that share an element and are still
-in different components are compared.  So no link between different components
+node only (a star), after which just those that are still in different components
+and share an element that few components hold are compared.  So no link between different components
 is lost, and no large group makes all its pairs.
 
 Components are found by alternating large and small stars, written to the
@@ -49,16 +49,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized
+from .common import free_shuffles, materialized
 
 WORDS = 5
 #: Similarity of a link, as inner * 7 >= (a + b) * 3, which is inner >= 3/4 of the union.
-HEAVY = 16
+HEAVY = 8
 PIECES_PER_SIZE = 0.9
 SINGLE = 63
 ID_BITS = 48
 ID_MASK = np.uint64((1 << ID_BITS) - 1)
-SKETCH_BITS = 1024
+LEAST_BITS, BITS_PER_ELEMENT = 1024, 4
 FLUSH = 1_000_000
 RECORDS_PER_BUCKET = 400_000
 SLICE = 1 << 20
@@ -145,10 +145,21 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def parity_bits(s: np.ndarray) -> list[int]:
-    """The set's parity sketch as 64-bit words: bit j is the parity of the elements that hash to it."""
-    bits = np.bincount((s >> _U(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+def parity_bits(s: np.ndarray) -> bytes:
+    """The set's parity sketch: bit j is the parity of the elements that hash to it.  A power of two of bits, at least four to an element."""
+    size = max(LEAST_BITS, 1 << (BITS_PER_ELEMENT * len(s) - 1).bit_length()) if len(s) else LEAST_BITS
+    bits = np.bincount((s >> _U(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches, at most the elements in which the sets differ; a longer one is folded."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.unpackbits(x ^ y).sum())
 
 
 def bands(size: int) -> list[tuple[int, int]]:
@@ -318,13 +329,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def _possible(a: str, b: str) -> Column:
-    """Sizes and parity sketches leave a link possible."""
-    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.aggregate(
-        F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v
-    )
-    return (4 * F.least(x, y) >= 3 * F.greatest(x, y)) & (7 * apart <= x + y)
+def _sized(a: str, b: str) -> Column:
+    """Sizes leave a link possible."""
+    return 4 * F.least(F.col(a), F.col(b)) >= 3 * F.greatest(F.col(a), F.col(b))
+
+
+def _sifted(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sizes and parity sketches leave a link possible."""
+    of = lambda c, n, s: nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
+    sized = pairs.join(of("a", "n", "s").drop("s"), "a").join(of("b", "m", "u").drop("u"), "b").where(_sized("n", "m")).select("a", "b")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, s, u = (c.to_pylist() for c in batch.columns[2:])
+            keep = [7 * distance(x, y) <= p + q for p, q, x, y in zip(n, m, s, u, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = sized.join(of("a", "n", "s"), "a").join(of("b", "m", "u"), "b").select("a", "b", "n", "m", "s", "u")
+    return materialized(both.mapInArrow(sift, pairs.select("a", "b").schema), name)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -355,11 +377,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
 
 
 def _with_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of short ids as possible pairs of nodes (a, b), a < b."""
-    left, right = (nodes.select(F.col("id").alias(i), F.struct("node", "n", "sketch").alias(s)) for i, s in (("x", "p"), ("y", "q")))
-    both = pairs.select("x", "y").distinct().join(left, "x").join(right, "y").where(_possible("p", "q"))
-    both = both.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
-    return both.where("a <> b").distinct()
+    """Pairs of short ids as distinct pairs of nodes (a, b), a < b."""
+    left, right = (nodes.select(F.col("id").alias(i), F.col("node").alias(p), F.col("n").alias(n)) for i, p, n in (("x", "p", "n"), ("y", "q", "m")))
+    both = pairs.select("x", "y").distinct().join(left, "x").join(right, "y").where(_sized("n", "m"))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()
 
 
 def _short_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -380,10 +401,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 s = shingles(t)
                 keys = sketch_keys(s) if len(s) else []
                 rows.append((d, len(s), *digest(s), parity_bits(s), [{"band": b, "keys": len(k), "need": m} for b, m, k in keys]))
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.int32()), ("need", pa.int32())]))]
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.int32()), ("need", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["d", "n", "d1", "d2", "sketch", "bands"])
 
-    signed = materialized(source.mapInArrow(sign, "d long, n long, d1 long, d2 long, sketch array<long>, bands array<struct<band:int,keys:int,need:int>>"), "signatures")
+    signed = materialized(source.mapInArrow(sign, "d long, n long, d1 long, d2 long, sketch binary, bands array<struct<band:int,keys:int,need:int>>"), "signatures")
     sets = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("d").alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     node = F.struct(F.coalesce("r", F.lit(2**63 - 1)).alias("r"), "d1", "d2")
     nodes = materialized(sets.select(F.col("d1").bitwiseAND(F.lit(2**ID_BITS - 1)).alias("id"), node.alias("node"), "r", "n", "sketch", "bands"), "sets")
@@ -394,7 +415,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = candidates(source, sketch_keys, bits, "sketch-candidates")
     wanted = nodes.select("id", F.explode("bands").alias("x")).select("id", "x.band", "x.keys", "x.need")
     short = materialized(_short_of(found, wanted), "short-sets")
-    pairs = materialized(_with_nodes(found.where("x IS NOT NULL"), nodes), "sketch-pairs")
+    free_shuffles(docs.sparkSession)
+    pairs = _sifted(_with_nodes(found.where("x IS NOT NULL"), nodes), nodes, "sketch-pairs")
 
     # The texts of all that is compared from here on.
     sides = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
@@ -409,6 +431,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fetched = asked.join(source, F.col("r").eqNullSafe(F.col("d"))).select("node", "t")
     texts = fetched.mapInArrow(same, fetched.schema).groupBy("node").agg(F.min("t").alias("t"))
     texts = materialized(texts, "compared-texts")
+    free_shuffles(docs.sparkSession)
     links = _verified(pairs, texts, "sketch-links")
 
     # Round 2: sets with too few rare pieces, by single elements.
@@ -418,8 +441,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = candidates(poor_texts, single_keys, bits, "single-candidates")
         wanted = poor.select("id", F.lit(SINGLE).alias("band"), F.col("n").alias("keys"), F.floor(F.col("n") / 4 + 1).alias("need"))
         poorest = materialized(_short_of(found, wanted), "shorter-sets")
-        pairs = _with_nodes(found.where("x IS NOT NULL"), nodes).join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(_verified(materialized(pairs, "single-pairs"), texts, "single-links"))
+        free_shuffles(docs.sparkSession)
+        pairs = _sifted(_with_nodes(found.where("x IS NOT NULL"), nodes).join(pairs, ["a", "b"], "left_anti"), nodes, "single-pairs")
+        links = links.unionByName(_verified(pairs, texts, "single-links"))
         # Round 3: sets of frequent elements. Two linked ones share one of their first size / 4 + 1 elements.
         if not poorest.isEmpty():
             links = links.unionByName(_stars(nodes.join(poorest, "id", "left_semi"), texts, links))
@@ -435,36 +459,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _stars(nodes: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
     """Links that join what is linked among ``nodes``, though their elements are frequent."""
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.sort(mix(s := shingles(t)))[: len(s) // 4 + 1].view(np.int64).tolist() for t in batch.column(1).to_pylist()]
+            keys = [np.sort(mix(shingles(t))).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
     rows = texts.join(nodes.select("node"), "node", "left_semi").select("node", "t")
     schema = f"node {nodes.schema['node'].dataType.simpleString()}, keys array<long>"
-    held = materialized(rows.mapInArrow(firsts, schema).select("node", F.explode("keys").alias("k")), "first-elements")
-    sized = nodes.select("node", F.struct("node", "n", "sketch").alias("p"))
+    held = rows.mapInArrow(elements, schema).select("node", F.floor(F.size("keys") / 4 + 1).alias("need"), F.posexplode("keys").alias("at", "k"))
+    held = materialized(held, "elements")
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        p, q = sized.select(F.col("node").alias("a"), "p"), sized.select(F.col("node").alias("b"), F.col("p").alias("q"))
-        return pairs.join(p, "a").join(q, "b").where(_possible("p", "q")).select("a", "b")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    centre = materialized(held.groupBy("k").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "a"), "centres")
-    star = materialized(possible(held.join(centre, "k").select("a", F.col("node").alias("b"))), "star-pairs")
+    # Two linked sets share one of the first size / 4 + 1 elements of each, in any order of all elements; here that of their hashes.
+    first = held.where("at < need")
+    centre = materialized(first.groupBy("k").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "a"), "centres")
+    star = _sifted(ordered(first.join(centre, "k").select("a", F.col("node").alias("b"))), nodes, "star-pairs")
     new = _verified(star, texts, "star-links")
-    # What shares an element and is still apart; in a group of near copies, next to nothing.
+    # What is still apart: the order is now by the number of components that hold an element. A group's own elements
+    # come first and lead to none outside it, so that only sets made of what many components hold are compared.
     roots = components(links.unionByName(new), "star-components")
-    placed = held.join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    placed = materialized(placed.join(apart, "k", "left_semi"), "apart")
-    if placed.isEmpty():
+    placed = materialized(held.join(roots, "node", "left").select("k", "node", "need", F.coalesce("root", "node").alias("root")), "placed")
+    spread = placed.groupBy("k", "root").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count(F.lit(1)).alias("spread"))
+    by = Window.partitionBy("node").orderBy("spread", "k")
+    rare = placed.join(spread, "k").withColumn("r", F.row_number().over(by)).where("r <= need AND spread > 1")
+    rare = materialized(rare.select("k", "node", "root"), "apart")
+    if rare.isEmpty():
         return new
-    # One stands for all of a component that share the same elements' texts no further: each pair is compared once.
-    left, right = placed.select("k", F.col("node").alias("a"), F.col("root").alias("x")), placed.select("k", F.col("node").alias("b"), F.col("root").alias("y"))
-    rest = left.join(right, "k").where("x < y").select("a", "b")
-    rest = possible(rest).join(star, ["a", "b"], "left_anti")
-    return new.unionByName(_verified(materialized(rest, "apart-pairs"), texts, "apart-links"))
+    left, right = rare.select("k", F.col("node").alias("a"), F.col("root").alias("x")), rare.select("k", F.col("node").alias("b"), F.col("root").alias("y"))
+    rest = _sifted(ordered(left.join(right, "k").where("x < y").select("a", "b")), nodes, "apart-pairs")
+    return new.unionByName(_verified(rest.join(star, ["a", "b"], "left_anti"), texts, "apart-links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
