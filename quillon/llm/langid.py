@@ -32,6 +32,8 @@ BUCKET_BITS = 16
 SIZES = (2, 3, 4)
 #: The classifier is fitted on at most so many texts, of so many languages (the most frequent).
 MOST_TRAINING_ROWS = 6000
+#: Of a longer training text so many n-grams, drawn from all of it, are kept on the driver.
+MOST_TRAINING_GRAMS = 2000
 MOST_LANGUAGES = 128
 #: Share of right answers, of the calibration part, that may be rejected.
 MOST_RIGHT_REJECTED = 0.001
@@ -110,7 +112,10 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6) -> Model:
     order = draw.permutation(len(rows))
     n_check = len(rows) // 8
     checked, learned = [rows[i] for i in order[:n_check]], [rows[i] for i in order[n_check:]]
-    grams = [np.concatenate(list(ngrams(t))) for t, _ in learned]
+    grams = []
+    for t, _ in learned:
+        own = np.concatenate(list(ngrams(t))).astype(np.uint16)
+        grams.append(own if len(own) <= MOST_TRAINING_GRAMS else draw.choice(own, MOST_TRAINING_GRAMS, replace=False))
     labels = np.array([languages.index(lang) for _, lang in learned])
     steps = max(epochs * len(learned), 6000) // 64
     flat = embeddings.reshape(-1)
