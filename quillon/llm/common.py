@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of each application in local mode.
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``.  Only in local mode, where
+    there is one machine, a temporary folder takes its place; elsewhere its
+    absence is an error, as executors would write where nobody else can read.
     """
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not path:
-        path = tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set(CHECKPOINT_DIR, path)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all its machines share")
+        path = _local_dirs.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="quillon-")
+        _local_dirs[spark.sparkContext.applicationId] = path
     return path
 
 
@@ -37,24 +47,40 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query ends: for queries whose rows are written and read again."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
     Cuts lineage in a way that survives the loss of executors, and keeps an
-    expensive Python stage from running once per consumer.
+    expensive Python stage from running once per consumer.  ``discard`` deletes
+    the folder once nothing reads it any more.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are done: it does so once their plans are collected as garbage."""
-    gc.collect()
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
-        jvm.System.gc()
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialized`` wrote for these frames."""
+    for frame in frames:
+        if path := frame.__dict__.pop("_written_at", None):
+            context = frame.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def held_out(id_column: str = "doc_id"):

@@ -18,15 +18,26 @@ D = (a + b) / 7 elements.
 Skew: equal sets are one node from the start.  A key that more than ``HEAVY``
 nodes share (a passage that many documents hold, a large group of near copies)
 pairs nobody.  A set whose other keys are still more than D needs no such key;
-what it is left with less is joined again by single elements, of which D' =
-size / 4 + 1 rare ones are enough; and sets that are made of frequent elements
-almost wholly, as large groups of near copies are, meet their elements' smallest
-node only (a star), after which just those that are still in different components
-and share an element that few components hold are compared.  So no link between different components
-is lost, and no large group makes all its pairs.
-
-Components are found by alternating large and small stars, written to the
-shared folder after each round.
+what it is left with less is joined again by single elements, so that all its
+links to sets with which it shares an element of at most ``HEAVY`` holders are
+known.  For a pair that shares heavy elements only, the difference is l + m +
+|h ^ g|, of the numbers l, m of light elements and the heavy parts h, g.  So
+
+* the sets of one heavy part need no more than a star to the one with the
+  fewest light elements: if it links to neither of two, they aren't linked, and
+  whoever links to one of another part links to that one's star or is not in it;
+* of what remains, the sets that hold an element link to one of them (that with
+  the fewest light elements for its size), which joins most of any large group;
+* then those that are still in different components meet by prefixes of their
+  heavy parts, elements that few components hold first, under the condition that
+  what follows the element leaves enough to share.
+
+So no link between different components is lost, and no large group makes all
+its pairs.
+
+Components are found by alternating large and small stars.  What is written to
+the shared folder between steps is deleted when the last step that reads it has
+been written.
 
 Defined results: a null text, and one without words, has an empty set and is
 linked with nothing; fewer words than n make one n-gram of the whole sequence;
@@ -49,15 +60,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialized
+from .common import discard, materialized
 
 WORDS = 5
 #: Similarity of a link, as inner * 7 >= (a + b) * 3, which is inner >= 3/4 of the union.
 HEAVY = 8
 PIECES_PER_SIZE = 0.9
-SINGLE = 63
-ID_BITS = 48
-ID_MASK = np.uint64((1 << ID_BITS) - 1)
+#: Bytes of a node's short id beside a key; two nodes may share one, which verification sorts out, so that single elements, which are counted by node, take more.
+ID_BYTES, WIDE_ID_BYTES = 6, 8
+BAND_STEP, SIZE_STEP = 4 / 3, 1.1
 LEAST_BITS, BITS_PER_ELEMENT = 1024, 4
 FLUSH = 1_000_000
 RECORDS_PER_BUCKET = 400_000
@@ -187,8 +198,8 @@ def sketch_keys(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
 
 
 def single_keys(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """Every element as a key."""
-    return [(SINGLE, len(s) // 4 + 1, mix(s) | _U(63))]
+    """Every element as a key; a set with as many rare ones meets all that it can be linked with."""
+    return [(0, len(s) // 4 + 1, mix(s))]
 
 
 # ---------------------------------------------------------------- keys to candidates
@@ -214,11 +225,12 @@ def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, ids, first, np.diff(np.append(first, len(keys)))
 
 
-#: Stands for the nodes of a key that is already heavy where it comes from.
-MARK = ID_MASK
+def id_mask(width: int) -> int:
+    """The bits of a short id; all of them set stand for the nodes of a key that is already heavy where it comes from."""
+    return (1 << min(8 * width, 63)) - 1
 
 
-def _rows(keys: list[np.ndarray], ids: list[np.ndarray], bits: int, salt: int) -> pa.RecordBatch:
+def _rows(keys: list[np.ndarray], ids: list[np.ndarray], bits: int, salt: int, width: int) -> pa.RecordBatch:
     """Records packed by bucket: sorted, differences and ids in byte planes, which compress.  Heavy keys go beside them."""
     k, i, first, length = _distinct(np.concatenate(keys), np.concatenate(ids))
     out: list[tuple[int, int, bytes]] = []
@@ -229,25 +241,25 @@ def _rows(keys: list[np.ndarray], ids: list[np.ndarray], bits: int, salt: int) -
     light = np.repeat(~heavy, length)
     light[first[heavy]] = True
     i = i.copy()
-    i[first[heavy]] = MARK
+    i[first[heavy]] = _U(id_mask(width))
     k, i = k[light], i[light]
     bucket = (k >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64)
     cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         part, who = k[cuts[b] : cuts[b + 1]], i[cuts[b] : cuts[b + 1]]
-        out.append((b, len(part), _planes(np.diff(part, prepend=_U(0)), 8) + _planes(who, 6)))
+        out.append((b, len(part), _planes(np.diff(part, prepend=_U(0)), 8) + _planes(who, width)))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "k", "blob"])
 
 
-def _pairs_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, list[int]]]]:
+def _pairs_of(keys: np.ndarray, ids: np.ndarray, mark: np.uint64) -> tuple[np.ndarray, list[tuple[int, list[int]]]]:
     """Distinct pairs of nodes under light keys; heavy keys with their nodes."""
     keys, ids, first, length = _distinct(keys, ids)
     last = first + length - 1
-    heavy = (length > HEAVY) | (ids[last] == MARK) if len(first) else np.zeros(0, bool)
+    heavy = (length > HEAVY) | (ids[last] == mark) if len(first) else np.zeros(0, bool)
     chunks = []
     for at, n in zip(first[heavy].tolist(), length[heavy].tolist(), strict=True):
         who = ids[at : at + n]
-        chunks.append((int(keys[at].view(np.int64)), who[who != MARK].view(np.int64).tolist()))
+        chunks.append((int(keys[at].view(np.int64)), who[who != mark].view(np.int64).tolist()))
     run = np.repeat(np.arange(len(first)), length)
     keep = np.repeat(~heavy, length)
     run, ids = run[keep], ids[keep]
@@ -258,9 +270,11 @@ def _pairs_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[tuple
 CANDIDATES = "x long, y long, k long, ids array<long>"
 
 
-def candidates(texts: DataFrame, keys_of, bits: int, name: str) -> DataFrame:
+def candidates(texts: DataFrame, keys_of, bits: int, name: str, width: int = ID_BYTES) -> DataFrame:
     """CANDIDATES from ``texts`` (column t): pairs of nodes (x, y), or heavy keys k with some of their nodes."""
 
+    mask = _U(id_mask(width))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held, salt, seen = [], [], 0, TaskContext.get().partitionId() << 20, set()
         for batch in batches:
@@ -275,13 +289,13 @@ def candidates(texts: DataFrame, keys_of, bits: int, name: str) -> DataFrame:
                     seen.add(who)
                 for _, _, k in keys_of(s):
                     keys.append(k)
-                    ids.append(np.full(len(k), np.array([who[0]], np.int64).view(np.uint64)[0] & ID_MASK))
+                    ids.append(np.full(len(k), np.array([who[0]], np.int64).view(np.uint64)[0] & mask))
                     held += len(k)
                 if held >= FLUSH:
-                    yield _rows(keys, ids, bits, salt)
+                    yield _rows(keys, ids, bits, salt, width)
                     keys, ids, held, salt = [], [], 0, salt + 1
         if held:
-            yield _rows(keys, ids, bits, salt)
+            yield _rows(keys, ids, bits, salt, width)
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] >= 1 << bits:
@@ -291,8 +305,8 @@ def candidates(texts: DataFrame, keys_of, bits: int, name: str) -> DataFrame:
             for n, blob in zip(pdf.k, pdf.blob, strict=True):
                 view = memoryview(blob)
                 keys.append(np.cumsum(_numbers(view[: 8 * n], n, 8)))
-                ids.append(_numbers(view[8 * n :], n, 6))
-            pairs, chunks = _pairs_of(np.concatenate(keys), np.concatenate(ids))
+                ids.append(_numbers(view[8 * n :], n, width))
+            pairs, chunks = _pairs_of(np.concatenate(keys), np.concatenate(ids), mask)
         n, x = len(chunks), pairs.view(np.int64)
         return pd.DataFrame({
             "x": pd.array([*x[:, 0].tolist(), *[None] * n], "Int64"), "y": pd.array([*x[:, 1].tolist(), *[None] * n], "Int64"),
@@ -307,23 +321,31 @@ def candidates(texts: DataFrame, keys_of, bits: int, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a, b) is joined to, for those that aren't it."""
+    """(node, root): the smallest node that each node of ``edges`` (a, b) is joined to, for those that aren't it.
+
+    The smallest neighbours are written before they are joined, so that both sides of the join are dealt for it alone and
+    AQE can split the node that is the centre of a large star.
+    """
     now = materialized(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), name)
     state = None
-    while True:
+    while not now.isEmpty():
         # Large star: a node's larger neighbours go to its smallest one.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = materialized(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), name)
+        large = materialized(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), name)
+        discard(now, least)
         # Small star: a node and its smaller neighbours go to the smallest.
-        large = materialized(large, name)
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = materialized(large.groupBy("b").agg(F.min("a").alias("m")), name)
         small = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b")
         now = materialized(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), name)
+        discard(large, least)
         n, check = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, check) == state:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            break
         state = (n, check)
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out._written_at = now._written_at
+    return out
 
 
 # ---------------------------------------------------------------- the join
@@ -390,24 +412,34 @@ def _short_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(n, ["id", "band"], "left").where(F.col("keys") - F.coalesce("heavy", F.lit(0)) < F.col("need")).select("id").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id."""
-    source = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
+NO_ID = 2**63 - 1
+
+
+def _signed(source: DataFrame) -> DataFrame:
+    """Per row of ``source`` (d, t and others): its set's size, digest, parity sketch, and the keys that its sketches have and need."""
+    others = [c for c in source.columns if c != "t"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for t in batch.column("t").to_pylist():
                 s = shingles(t)
                 keys = sketch_keys(s) if len(s) else []
-                rows.append((d, len(s), *digest(s), parity_bits(s), [{"band": b, "keys": len(k), "need": m} for b, m, k in keys]))
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.int32()), ("need", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["d", "n", "d1", "d2", "sketch", "bands"])
+                rows.append((len(s), *digest(s), parity_bits(s), [{"band": b, "keys": len(k), "need": m} for b, m, k in keys]))
+            kinds = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.int32()), ("need", pa.int32())]))]
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *made], [*others, "n", "d1", "d2", "sketch", "bands"])
 
-    signed = materialized(source.mapInArrow(sign, "d long, n long, d1 long, d2 long, sketch binary, bands array<struct<band:int,keys:int,need:int>>"), "signatures")
+    schema = ", ".join(f"{c} long" for c in others)
+    return materialized(source.mapInArrow(sign, f"{schema}, n long, d1 long, d2 long, sketch binary, bands array<struct<band:int,keys:int,need:int>>"), "signatures")
+
+
+def _named_sets(source: DataFrame, signed: DataFrame) -> DataFrame:
+    """(d1, d2, e1, e2, r): of each set that isn't empty, its component's first set and smallest id (null if it has none)."""
     sets = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("d").alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    node = F.struct(F.coalesce("r", F.lit(2**63 - 1)).alias("r"), "d1", "d2")
-    nodes = materialized(sets.select(F.col("d1").bitwiseAND(F.lit(2**ID_BITS - 1)).alias("id"), node.alias("node"), "r", "n", "sketch", "bands"), "sets")
+    node = F.struct(F.coalesce("r", F.lit(NO_ID)).alias("r"), "d1", "d2")
+    short_id = lambda width: F.col("d1").bitwiseAND(F.lit(id_mask(width)))
+    nodes = materialized(sets.select(short_id(ID_BYTES).alias("id"), short_id(WIDE_ID_BYTES).alias("wide"), node.alias("node"), "n", "sketch", "bands"), "sets")
     records = nodes.agg(F.coalesce(F.sum(F.aggregate("bands", F.lit(0).cast("long"), lambda acc, x: acc + x["keys"])), F.lit(0))).first()[0]
     bits = max(0, int(records // RECORDS_PER_BUCKET)).bit_length() + 2
 
@@ -415,13 +447,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = candidates(source, sketch_keys, bits, "sketch-candidates")
     wanted = nodes.select("id", F.explode("bands").alias("x")).select("id", "x.band", "x.keys", "x.need")
     short = materialized(_short_of(found, wanted), "short-sets")
-    free_shuffles(docs.sparkSession)
     pairs = _sifted(_with_nodes(found.where("x IS NOT NULL"), nodes), nodes, "sketch-pairs")
+    discard(found)
 
-    # The texts of all that is compared from here on.
+    # The texts of all that is compared by elements.
     sides = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     asked = sides.unionByName(nodes.join(short, "id", "left_semi").select("node")).distinct()
-    asked = asked.select("node", F.nullif("node.r", F.lit(2**63 - 1)).alias("r"))
+    asked = asked.select("node", F.nullif("node.r", F.lit(NO_ID)).alias("r"))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,75 +463,147 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fetched = asked.join(source, F.col("r").eqNullSafe(F.col("d"))).select("node", "t")
     texts = fetched.mapInArrow(same, fetched.schema).groupBy("node").agg(F.min("t").alias("t"))
     texts = materialized(texts, "compared-texts")
-    free_shuffles(docs.sparkSession)
-    links = _verified(pairs, texts, "sketch-links")
+    links = [_verified(pairs, texts, "sketch-links")]
+    held = [nodes, pairs, short, texts, *links]
 
     # Round 2: sets with too few rare pieces, by single elements.
+    roots = None
     if not short.isEmpty():
-        poor = nodes.join(short, "id", "left_semi")
-        poor_texts = texts.join(poor.select("node", "n"), "node")
-        found = candidates(poor_texts, single_keys, bits, "single-candidates")
-        wanted = poor.select("id", F.lit(SINGLE).alias("band"), F.col("n").alias("keys"), F.floor(F.col("n") / 4 + 1).alias("need"))
-        poorest = materialized(_short_of(found, wanted), "shorter-sets")
-        free_shuffles(docs.sparkSession)
-        pairs = _sifted(_with_nodes(found.where("x IS NOT NULL"), nodes).join(pairs, ["a", "b"], "left_anti"), nodes, "single-pairs")
-        links = links.unionByName(_verified(pairs, texts, "single-links"))
-        # Round 3: sets of frequent elements. Two linked ones share one of their first size / 4 + 1 elements.
-        if not poorest.isEmpty():
-            links = links.unionByName(_stars(nodes.join(poorest, "id", "left_semi"), texts, links))
-
-    roots = components(links).select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), F.col("root.r").alias("root"))
-    named = nodes.select("node.d1", "node.d2", "r").join(roots, ["d1", "d2"], "left")
-    named = materialized(named.select("d1", "d2", F.nullif(F.coalesce("root", "r"), F.lit(2**63 - 1)).alias("component_id")), "named-sets")
+        poor = materialized(nodes.join(short, "id", "left_semi").select("wide", "node", "n"), "poor-sets")
+        found = candidates(texts.join(poor.select("node"), "node"), single_keys, bits, "single-candidates", WIDE_ID_BYTES)
+        met = _with_nodes(found.where("x IS NOT NULL"), poor.withColumnRenamed("wide", "id")).join(pairs, ["a", "b"], "left_anti")
+        more = _sifted(met, nodes, "single-pairs")
+        links.append(_verified(more, texts, "single-links"))
+        # Round 3: pairs that share heavy elements only.
+        parts = materialized(_heavy_parts(found, poor), "heavy-parts")
+        held += [poor, found, more, links[-1], parts]
+        if not parts.isEmpty():
+            made, roots = _among_heavy(parts, links)
+            held += made
+    if roots is None:
+        roots = components(links[0] if len(links) == 1 else links[0].unionByName(links[1]))
+    first = F.coalesce("root", "node")
+    named = nodes.select("node").join(roots, "node", "left").select("node.d1", "node.d2", first["d1"].alias("e1"), first["d2"].alias("e2"), F.nullif(first["r"], F.lit(NO_ID)).alias("r"))
+    named = materialized(named, "named-sets")
+    discard(*held, roots)
+    return named
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_shingles, component_id."""
+    source = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
+    signed = _signed(source)
+    named = _named_sets(source, signed).select("d1", "d2", F.col("r").alias("component_id"))
     out = signed.select("d", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     kind = docs.schema[id_col].dataType
     return out.select(F.col("d").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "d").cast(kind).alias("component_id"))
 
 
-def _stars(nodes: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
-    """Links that join what is linked among ``nodes``, though their elements are frequent."""
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [np.sort(mix(shingles(t))).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
-
-    rows = texts.join(nodes.select("node"), "node", "left_semi").select("node", "t")
-    schema = f"node {nodes.schema['node'].dataType.simpleString()}, keys array<long>"
-    held = rows.mapInArrow(elements, schema).select("node", F.floor(F.size("keys") / 4 + 1).alias("need"), F.posexplode("keys").alias("at", "k"))
-    held = materialized(held, "elements")
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # Two linked sets share one of the first size / 4 + 1 elements of each, in any order of all elements; here that of their hashes.
-    first = held.where("at < need")
-    centre = materialized(first.groupBy("k").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "a"), "centres")
-    star = _sifted(ordered(first.join(centre, "k").select("a", F.col("node").alias("b"))), nodes, "star-pairs")
-    new = _verified(star, texts, "star-links")
-    # What is still apart: the order is now by the number of components that hold an element. A group's own elements
-    # come first and lead to none outside it, so that only sets made of what many components hold are compared.
-    roots = components(links.unionByName(new), "star-components")
-    placed = materialized(held.join(roots, "node", "left").select("k", "node", "need", F.coalesce("root", "node").alias("root")), "placed")
-    spread = placed.groupBy("k", "root").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count(F.lit(1)).alias("spread"))
-    by = Window.partitionBy("node").orderBy("spread", "k")
-    rare = placed.join(spread, "k").withColumn("r", F.row_number().over(by)).where("r <= need AND spread > 1")
-    rare = materialized(rare.select("k", "node", "root"), "apart")
-    if rare.isEmpty():
-        return new
-    left, right = rare.select("k", F.col("node").alias("a"), F.col("root").alias("x")), rare.select("k", F.col("node").alias("b"), F.col("root").alias("y"))
-    rest = _sifted(ordered(left.join(right, "k").where("x < y").select("a", "b")), nodes, "apart-pairs")
-    return new.unionByName(_verified(rest.join(star, ["a", "b"], "left_anti"), texts, "apart-links"))
+# ---------------------------------------------------------------- sets of heavy elements
+
+
+def _heavy_parts(found: DataFrame, poor: DataFrame) -> DataFrame:
+    """(node, n, l, g, h, h1, h2): of sets that may be linked by heavy elements alone, sizes of the set and of its light and heavy parts, the heavy part and its digest."""
+    held = found.where("k IS NOT NULL").select("k", F.explode("ids").alias("wide")).groupBy("wide").agg(F.array_sort(F.collect_set("k")).alias("h"))
+    parts = poor.join(held, "wide").withColumn("g", F.size("h").cast("long")).withColumn("l", F.col("n") - F.col("g"))
+    return parts.where("4 * l <= n").select("node", "n", "l", "g", "h", F.xxhash64("h").alias("h1"), F.xxhash64(F.lit("h"), "h").alias("h2"))
+
+
+def _agreeing(pairs: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) among ``pairs`` whose sets share enough heavy elements."""
+    of = lambda c, s, h: parts.select(F.col("node").alias(c), F.col("n").alias(s), F.col("h").alias(h))
+    both = pairs.join(of("a", "p", "x"), "a").join(of("b", "q", "y"), "b")
+    inner = F.size(F.array_intersect("x", "y"))
+    return materialized(both.where(7 * inner >= 3 * (F.col("p") + F.col("q"))).select("a", "b"), name)
+
+
+def _band(n: Column, step: float) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(step))).cast("int")
+
+
+def _among_heavy(parts: DataFrame, links: list[DataFrame]) -> tuple[list[DataFrame], DataFrame]:
+    """What was written, and the components of all sets: by ``links`` and by links among ``parts`` that are heavy elements' alone."""
+    sizes = parts.select("node", "n", "l", "g", "h1", "h2")
+    # Sets of one heavy part: a star to the one with the fewest light elements. It stands for all that it links to.
+    least = materialized(sizes.groupBy("h1", "h2").agg(F.min(F.struct("l", "node")).alias("m")), "part-centres")
+    placed = materialized(sizes.join(least, ["h1", "h2"]).select("node", "n", "l", "g", F.col("m.node").alias("c"), (F.col("l") * 3 + F.col("m.l") * 3 <= F.col("g")).alias("near")), "part-stars")
+    same = placed.where("near AND node <> c").select(F.col("c").alias("a"), F.col("node").alias("b"))
+    active = materialized(parts.join(placed.where("NOT near OR node = c").select("node"), "node", "left_semi").select("node", "n", "l", "g", "h"), "active-parts")
+
+    # Two linked sets share one of the first n / 4 - l + 1 elements of each, in the order of their hashes; each of these has its centre.
+    prefix = F.slice("h", 1, F.greatest(F.lit(0), F.floor(F.col("n") / 4) - F.col("l") + 1).cast("int"))
+    band = _band(F.col("n"), BAND_STEP)
+    keyed = active.select("node", "n", "l", "g", F.explode(F.array(band, band + 1)).alias("band"), prefix.alias("first")).select("node", "n", "l", "g", "band", F.explode("first").alias("k"))
+    best = F.min(F.struct((6 * F.col("l") - F.col("g")).alias("excess"), "node", "n", "g")).alias("c")
+    centres = materialized(keyed.groupBy("k", "band").agg(best, F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "band", "c"), "centres")
+    possible = 7 * F.least("g", F.col("c.g")) >= 3 * (F.col("n") + F.col("c.n"))
+    star = keyed.join(centres, ["k", "band"]).where((F.col("node") != F.col("c.node")) & possible).select("node", F.col("c.node").alias("c"))
+    star = materialized(star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "star-pairs")
+    links = [*links, same, _agreeing(star, active, "star-links")]
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    roots = components(every, "star-components")
+
+    # What is still apart: elements that few components hold first.
+    rooted = materialized(active.join(roots, "node", "left").select("node", "n", "l", "g", "h", F.coalesce("root", "node").alias("root")), "rooted-parts")
+    elements = rooted.select("node", "root", F.explode("h").alias("k"))
+    spread = materialized(elements.groupBy("k", "root").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1"), "spread")
+    order = elements.join(spread, "k").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("spread", "k"))).alias("o"))
+    # Elements of one component only come before all others: so many places are taken.
+    order = rooted.select("node", "root", "n", "g").join(order, "node").select("node", "root", "n", "g", F.posexplode("o").alias("at", "x"), F.size("o").alias("shared"))
+    # A partner of size m needs 7 * left >= 3 * (n + m), m >= 3/4 * n; of two sets the smaller meets in its own band of sizes, the larger in all that a partner can have.
+    left = F.col("shared") - F.col("at")
+    order = order.select("node", "root", "n", F.col("x.k").alias("k"), left.cast("long").alias("left"), F.floor((7 * left - 3 * F.col("n")) / 3).alias("most"), F.ceil(F.col("n") * 3 / 4).alias("fewest")).where("most >= fewest")
+    order = materialized(order, "prefixes")
+    small = order.where("most >= n").withColumn("band", _band(F.col("n"), SIZE_STEP))
+    large = order.withColumn("band", F.explode(F.sequence(_band(F.col("fewest"), SIZE_STEP), _band(F.least("most", "n"), SIZE_STEP))))
+    groups = small.select("k", "band", "root").unionByName(large.select("k", "band", "root")).groupBy("k", "band").agg(F.min("root").alias("r"), F.max("root").alias("s"))
+    mixed = materialized(groups.where("r <> s").select("k", "band"), "mixed-groups")
+    small = small.join(mixed, ["k", "band"]).select("k", "band", F.col("node").alias("a"), F.col("root").alias("x"), F.col("n").alias("p"), F.col("left").alias("u"))
+    large = large.join(mixed, ["k", "band"]).select("k", "band", F.col("node").alias("b"), F.col("root").alias("y"), F.col("n").alias("q"), F.col("left").alias("v"))
+    meet = (F.col("x") != F.col("y")) & (F.struct("p", "a") < F.struct("q", "b")) & (7 * F.least("u", "v") >= 3 * (F.col("p") + F.col("q")))
+    rest = small.join(large, ["k", "band"]).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialized(rest.join(star, ["a", "b"], "left_anti"), "apart-pairs")
+    apart = _agreeing(rest, active, "apart-links")
+    written = [least, placed, active, centres, star, links[-1], rooted, spread, order, mixed, rest, apart]
+    if apart.isEmpty():
+        return written, roots
+    # Components of components.
+    of = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+    over = apart.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    upper = components(over, "apart-components")
+    top = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    joined = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    joined = materialized(joined.unionByName(upper), "joined-components")
+    return [*written, roots, upper], joined
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the first of those with the smallest id; columns as they were."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col("n_shingles") > 0)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    repeated = materialized(docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__many")), "repeated-ids")
-    if repeated.isEmpty():
-        return left
-    many = left.join(repeated, F.col(id_col) == F.col("__many"), "left_semi")
-    first = many.withColumn("__r", F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(F.lit(0)))).where("__r = 1").drop("__r")
-    return left.join(repeated, F.col(id_col) == F.col("__many"), "left_anti").unionByName(first)
+    """One document of each component: that of the smallest id (of no id, if none has one); columns as they were.
+
+    Documents without words all stay.  Of rows with the same id and text one stays.
+    """
+    known = {c.lower() for c in docs.columns}
+    mark = lambda name: next(x for i in range(len(known) + 1) if (x := f"{name}_{i}") not in known)
+    d, a, b = mark("__d"), mark("__a"), mark("__b")
+    text = F.col(f"`{text_col}`").cast("string")
+    hashed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias(d), F.xxhash64(text).alias(a), F.xxhash64(F.lit("text"), text).alias(b))
+    source = hashed.select(F.col(d).alias("d"), F.col(a).alias("a"), F.col(b).alias("b"), text.alias("t"))
+    signed = _signed(source)
+    named = _named_sets(source.select("d", "t"), signed)
+    rows = signed.where("n > 0").select("d", "a", "b", "d1", "d2").groupBy("d", "a", "b", "d1", "d2").agg(F.count(F.lit(1)).alias("rows"))
+    rows = materialized(rows.join(named, ["d1", "d2"]).select("d", "a", "b", "rows", (F.col("d").eqNullSafe(F.col("r")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).alias("first"), "e1", "e2"), "document-classes")
+    discard(signed, named)
+    # The first set may be that of several texts of the smallest id.
+    stays = materialized(rows.where("first").groupBy("e1", "e2").agg(F.min(F.struct("a", "b")).alias("x")).select("e1", "e2", "x.a", "x.b"), "documents-that-stay")
+    first = rows.where("first").join(stays, ["e1", "e2", "a", "b"], "left_semi").select("d", "a", "b", "rows")
+    gone = rows.where("NOT first").select("d", "a", "b").unionByName(rows.where("first").join(stays, ["e1", "e2", "a", "b"], "left_anti").select("d", "a", "b"))
+    same = lambda other: hashed[d].eqNullSafe(other["d"]) & (hashed[a] == other["a"]) & (hashed[b] == other["b"])
+    left = hashed.join(gone, same(gone), "left_anti")
+    many = first.where("rows > 1")
+    if many.isEmpty():
+        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    r = mark("__r")
+    repeated = left.join(many, same(many), "left_semi").withColumn(r, F.row_number().over(Window.partitionBy(d, a, b).orderBy(F.lit(0)))).where(F.col(r) == 1).drop(r)
+    return left.join(many, same(many), "left_anti").unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

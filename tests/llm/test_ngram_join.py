@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillon.llm import common
 from quillon.llm import ngram_join as J
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -149,3 +150,74 @@ def test_components(spark):
     want = {(x, find(x)) for x in set(itertools.chain(*edges)) if find(x) != x}
     got = J.components(spark.createDataFrame(edges, "a long, b long"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def altered(draw, base, low, high):
+    """A copy with some words replaced, dropped, added, or its end cut off."""
+    w = list(base)
+    for _ in range(draw.randrange(low, high + 1)):
+        kind, j = draw.random(), draw.randrange(len(w))
+        if kind < 0.5:
+            w[j] = f"e{draw.randrange(10**6)}"
+        elif kind < 0.65:
+            del w[j : j + draw.randrange(1, 5)]
+        elif kind < 0.8:
+            w[j:j] = [f"i{draw.randrange(10**6)}" for _ in range(draw.randrange(1, 5))]
+        elif kind < 0.9:
+            w[j] = draw.choice(["aa", "bb"])
+        else:
+            w = w[: max(10, len(w) - draw.randrange(len(w) // 3 + 1))]
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_families_that_share_a_passage(spark, seed, monkeypatch):
+    """Copies altered in several ways, in families of which some share a passage, and none of which need hold its original."""
+    draw = random.Random(seed)
+    monkeypatch.setattr(J, "HEAVY", draw.choice([2, 4]))
+    word = lambda: f"w{draw.randrange(3000)}"
+    passage, texts = [word() for _ in range(60)], []
+    for i in range(5):
+        base = [word() for _ in range(draw.choice([20, 40, 80, 150]))]
+        base = base[: len(base) // 2] + passage + base[len(base) // 2 :] if i % 2 else base
+        low = draw.randrange(3)
+        texts += [altered(draw, base, low, low + 4) for _ in range(draw.randrange(10, 50))]
+        texts += [" ".join([*passage, *[word() for _ in range(draw.randrange(1, 30))]]) for _ in range(10)]
+    draw.shuffle(texts)
+    rows = list(enumerate(texts, 5))
+    assert result(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
+
+
+def test_large_groups_do_not_make_all_their_pairs(spark, monkeypatch):
+    """Near copies of one text, three times as many of them: what is compared grows in proportion."""
+    compared = {}
+    agreeing, sifted = J._agreeing, J._sifted
+    monkeypatch.setattr(J, "_agreeing", lambda pairs, parts, name: compared.__setitem__(name, pairs.count()) or agreeing(pairs, parts, name))
+    monkeypatch.setattr(J, "_sifted", lambda pairs, nodes, name: compared.__setitem__(name, pairs.count()) or sifted(pairs, nodes, name))
+    made = []
+    for n in (400, 1200):
+        draw = random.Random(3)
+        texts = list(copies(draw, [f"w{draw.randrange(5000)}" for _ in range(80)], n, 3))
+        found = J.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+        groups = found.groupBy("component_id").count().orderBy(F.desc("count")).first()
+        assert groups["count"] > 0.6 * n
+        made.append(sum(compared.values()))
+        compared.clear()
+    assert made[0] < 6 * 400 and made[1] < 4 * made[0]
+
+
+def test_one_of_each_group_stays(spark):
+    """Rows go by their id and text: other texts of an id, and rows without an id, are told apart."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, near), (5, near + " x"), (5, "something else that is not alike"), (None, near), (None, "alone"), (5, near + " x"), (None, "alone"), (7, None), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__d_0", F.lit(1)).repartition(3)
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(4, near), (5, "something else that is not alike"), (None, "alone"), (7, None), (7, None), (8, "")], key=str)
+
+
+def test_what_is_written_between_steps_goes(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(common._local_dirs, spark.sparkContext.applicationId, str(tmp_path))
+    rows = [(i, " ".join(f"w{j}" for j in range(40) if j % 11 != i)) for i in range(30)]
+    J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {p.name.rpartition("-")[0] for p in tmp_path.iterdir()} <= {"document-classes", "documents-that-stay"}
