@@ -5,7 +5,9 @@ hashed to an embedding, the embeddings are averaged, and a linear softmax gives
 the language.  Embeddings and weights are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled texts; a temperature and the
 score below which a text is rejected are calibrated on a part of the sample
-that is not trained on.  The rest is one pass over whole texts.
+that is not trained on.  Executors count the n-grams of the sampled texts, so
+that the driver holds at most 65,536 counts of each, however long it is.  The
+rest is one pass over whole texts.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0
 and is rejected; with nothing to learn from, every text is ``und`` with score 0
@@ -25,16 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, materialized
 
 DIMENSIONS = 16
 BUCKET_BITS = 16
 SIZES = (2, 3, 4)
-#: The classifier is fitted on at most so many texts, of so many languages (the most frequent).
-MOST_TRAINING_ROWS = 6000
-#: Of a longer training text so many n-grams, drawn from all of it, are kept on the driver.
-MOST_TRAINING_GRAMS = 2000
-MOST_LANGUAGES = 128
+#: The classifier is fitted on at most so many texts, as many of each language.
+MOST_TRAINING_ROWS = 3000
 #: Share of right answers, of the calibration part, that may be rejected.
 MOST_RIGHT_REJECTED = 0.001
 SLICE = 1 << 20
@@ -59,6 +58,29 @@ def ngrams(text: str) -> Iterator[np.ndarray]:
         yield np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+@dataclass
+class Grams:
+    """The n-grams of one whole text: buckets, and how often each occurs."""
+
+    buckets: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, text: str) -> Grams:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for part in ngrams(text):
+            total += np.bincount(part, minlength=1 << BUCKET_BITS)
+        at = np.flatnonzero(total)
+        return cls(at.astype(np.uint16), total[at])
+
+    def __post_init__(self) -> None:
+        self.ends = np.cumsum(self.counts)
+
+    def drawn(self, draw: np.random.Generator, n: int) -> np.ndarray:
+        """n of the text's n-grams, all of them equally likely."""
+        return self.buckets[np.searchsorted(self.ends, draw.integers(0, self.ends[-1], n), side="right")]
+
+
 @dataclass
 class Model:
     """Languages, embeddings, weights, and the calibration."""
@@ -74,6 +96,11 @@ class Model:
         # The average commutes with the linear layer, so few languages need a few numbers an n-gram only.
         self.table = (self.embeddings @ self.weights.T).astype(np.float32) if len(self.languages) <= DIMENSIONS else None
 
+    def logits_of(self, grams: Grams) -> np.ndarray:
+        """The same from counts."""
+        mean = grams.counts @ self.embeddings[grams.buckets].astype(np.float64) / max(1, grams.counts.sum())
+        return self.weights @ mean + self.bias
+
     def logits(self, text: str) -> np.ndarray:
         total, n = 0.0, 0
         for grams in ngrams(text):
@@ -99,9 +126,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6) -> Model:
-    """``rows``: (text, language)."""
-    rows = [(t, lang) for t, lang in rows if t and lang is not None and LETTER.search(t)]
+def train(rows: list[tuple[Grams, str]], seed: int = 7, epochs: int = 6) -> Model:
+    """``rows``: (n-grams of a text, language)."""
     languages = sorted({lang for _, lang in rows})
     draw = np.random.default_rng(seed)
     embeddings = draw.uniform(-0.05, 0.05, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
@@ -112,10 +138,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6) -> Model:
     order = draw.permutation(len(rows))
     n_check = len(rows) // 8
     checked, learned = [rows[i] for i in order[:n_check]], [rows[i] for i in order[n_check:]]
-    grams = []
-    for t, _ in learned:
-        own = np.concatenate(list(ngrams(t))).astype(np.uint16)
-        grams.append(own if len(own) <= MOST_TRAINING_GRAMS else draw.choice(own, MOST_TRAINING_GRAMS, replace=False))
+    grams = [g for g, _ in learned]
     labels = np.array([languages.index(lang) for _, lang in learned])
     steps = max(epochs * len(learned), 6000) // 64
     flat = embeddings.reshape(-1)
@@ -123,7 +146,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6) -> Model:
         rate = np.float32(1.0 - 0.9 * step / steps)
         some = draw.integers(0, len(learned), 64)
         n = (16, 48, 128)[step % 3]  # short and long texts
-        index = np.stack([grams[i][draw.integers(0, len(grams[i]), n)] for i in some]).astype(np.int64)
+        index = np.stack([grams[i].drawn(draw, n) for i in some]).astype(np.int64)
         mean = embeddings[index].mean(axis=1)
         error = _softmax(mean @ weights.T + bias)
         error[np.arange(64), labels[some]] -= 1
@@ -134,7 +157,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6) -> Model:
         np.subtract.at(flat, at, np.repeat(back[:, None, :], n, axis=1).reshape(-1))
     model = Model(languages, embeddings, weights, bias)
     if checked:
-        logits = np.stack([model.logits(t) for t, _ in checked])
+        logits = np.stack([model.logits_of(g) for g, _ in checked])
         truth = np.array([languages.index(lang) for _, lang in checked])
         losses = {t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in np.geomspace(0.25, 8, 31)}
         model.temperature = float(min(losses, key=losses.get))
@@ -150,14 +173,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from a bounded sample, even over languages, of the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out("d") & F.col("lang").isNotNull() & F.col("t").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    counts = materialized(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    n_languages = counts.count()
+    if not n_languages:
         return train([])
-    each = max(1, most_rows // len(counts))
+    each = max(1, most_rows // n_languages)
     picked = F.pmod(F.xxhash64("d", F.lit("lang")), F.lit(1_000_003))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    some = rows.where(picked < share[F.col("lang")] * 1_000_003)
-    return train([(r.t, r.lang) for r in bounded_sample(some, "d", most_rows).collect()])
+    # Ids are drawn first, so that no text moves that isn't learned from; of a repeated id one row is.
+    some = rows.select("d", "lang", picked.alias("p")).join(counts, "lang").where(F.col("p") < F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")) * 1_000_003)
+    ids = bounded_sample(some.select("d").distinct(), "d", most_rows)
+    some = rows.join(F.broadcast(ids), "d").groupBy("d").agg(F.min(F.struct("t", "lang")).alias("x")).select("d", "x.t", "x.lang")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(lang, Grams.of(t)) for t, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if LETTER.search(t)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang for lang, _ in found], pa.string()), *(pa.array([x.astype(k).tobytes() for _, g in found for x in [getattr(g, n)]], pa.binary()) for n, k in (("buckets", "<u2"), ("counts", "<u4")))], ["lang", "b", "n"]
+            )
+
+    made = some.mapInArrow(count, "lang string, b binary, n binary").collect()
+    made = sorted((r.lang, bytes(r.b), bytes(r.n)) for r in made)
+    return train([(Grams(np.frombuffer(b, "<u2"), np.frombuffer(n, "<u4").astype(np.int64)), lang) for lang, b, n in made if n])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", drop: bool = False) -> DataFrame:
