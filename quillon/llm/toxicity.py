@@ -202,23 +202,22 @@ def features(words: set[bytes]) -> set[bytes]:
     return out
 
 
-def train(toxic: list[str], clean: list[str], share_toxic: float, counts: np.ndarray) -> Model:
-    """From texts of either label, the share of toxic ones among all labels, and the corpus' trigrams.
+def train(toxic: list[set[bytes]], clean: list[set[bytes]], share_toxic: float, base: CharacterModel) -> Model:
+    """From the distinct words of texts of either label, the share of toxic ones among all labels, and the corpus' characters.
 
     Only counts of features are held, never the features of each text.
     """
-    base = CharacterModel(counts)
     model = Model(base.costs)
     if not toxic or not clean:
         model.known = False
         return model
     in_bad: Counter[bytes] = Counter()
-    for t in toxic:
-        in_bad.update(features(model.tokens(t)))
+    for words in toxic:
+        in_bad.update(features(words))
     in_bad = Counter({f: n for f, n in in_bad.items() if n >= 3})
     in_good: Counter[bytes] = Counter()
-    for t in clean:
-        in_good.update(features(model.tokens(t)) & in_bad.keys())
+    for words in clean:
+        in_good.update(features(words) & in_bad.keys())
 
     def weight(f: bytes) -> float:
         """Likelihood ratio of the feature's counts against no difference; 0 where clean texts have it more often."""
@@ -232,8 +231,8 @@ def train(toxic: list[str], clean: list[str], share_toxic: float, counts: np.nda
     del scored, in_bad, in_good
     index = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(toxic) + len(clean), len(chosen)), np.float32)
-    for i, t in enumerate([*toxic, *clean]):
-        x[i, [index[f] for f in features(model.tokens(t)) & index.keys()]] = 1
+    for i, words in enumerate([*toxic, *clean]):
+        x[i, [index[f] for f in features(words) & index.keys()]] = 1
     y = np.zeros(len(x), np.float32)
     y[: len(toxic)] = 1
     # Adam on the logistic loss with a small quadratic penalty.
@@ -257,7 +256,6 @@ def train(toxic: list[str], clean: list[str], share_toxic: float, counts: np.nda
     lexicon = [word.decode("utf-8", "ignore") for word, value in model.words.items() if value > 0.5 and len(word) > 3]
     if lexicon:
         model.costs = base.mixed_with(CharacterModel(trigram_counts(lexicon)), 0.5).costs
-    model.memo.clear()
     return model
 
 
@@ -265,13 +263,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from labels of documents that are not held out."""
     known = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).where(~held_out("d") & F.col("d").isNotNull() & F.col("y").isin(0, 1)).distinct()
     n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    base = CharacterModel(corpus_trigrams(docs, text_col))
+    reader = docs.sparkSession.sparkContext.broadcast(base.costs)
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(reader.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b" ".join(sorted(model.tokens(t))) for t in batch.column(1).to_pylist()], pa.binary())], ["d", "words"])
+
     picked = {}
     for y, most in ((1, most_toxic), (0, most_clean)):
         ids = bounded_sample(known.where(F.col("y") == y).select("d"), "d", most, n.get(y, 0))  # no more ids than ``most``
-        rows = texts.join(F.broadcast(ids), "d").select("d", "t").collect()
-        picked[y] = [r.t or "" for r in sorted(rows, key=lambda r: (r.d, r.t or ""))[: 2 * most]]
-    return train(picked[1], picked[0], n.get(1, 0) / max(1, sum(n.values())), corpus_trigrams(docs, text_col))
+        # Of a repeated id one row is learned from; of a text only its distinct words reach the driver.
+        one = texts.join(F.broadcast(ids), "d").groupBy("d").agg(F.min("t").alias("t")).select("d", "t")
+        rows = one.mapInArrow(words, T.StructType([one.schema["d"], T.StructField("words", T.BinaryType())])).collect()
+        picked[y] = [set(bytes(r.words).split()) for r in sorted(rows, key=lambda r: r.d)]
+    return train(picked[1], picked[0], n.get(1, 0) / max(1, sum(n.values())), base)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
