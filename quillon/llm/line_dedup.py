@@ -3,7 +3,7 @@
 Group by host, divide the number of a host's pages that hold a line by the
 number of its pages, and drop lines above a ratio.  A line is a text between
 line feeds, compared without blanks, tabs and carriage returns at its ends; a
-line without anything else is never dropped.
+line without anything else, or on one page alone, is never dropped.
 
 Scale: lines are counted by 128 bits of hash, once per page, with partial sums
 before the shuffle, so a host or line with a third of all rows costs no task
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialized
 
 RATIO = 0.05
-MIN_PAGES = 10
+#: A line that one page alone holds is no boilerplate, however few pages its host has.
+MIN_PAGES = 2
 
 
 def _lines(text: Column) -> Column:
