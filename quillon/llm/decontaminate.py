@@ -3,7 +3,9 @@
 The automaton holds every window of the normalised benchmark items (ten
 consecutive words; an item of fewer words is one window).  Each document is
 normalised once, scanned once, and every hit is mapped back to word positions
-and to character offsets in the original text.
+and to character offsets in the original text.  A benchmark too large for one
+automaton in a worker's memory is dealt over several, each a pass over the
+documents that hands on the word ranges found so far.
 
 Defined results: a null or wordless text has no words and no hits; items that
 are null, wordless or have a null id are not searched for; rows that repeat
@@ -16,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialized
+
 WINDOW = 10
-#: Benchmarks are reference sets; the automaton is broadcast, so their size is checked against this.
-MOST_ITEM_BYTES = 64 << 20
+#: Bytes of items in one automaton, which every Python worker builds (about 450 bytes of memory for each); more items are scanned for in several passes.
+MOST_ITEM_BYTES = 1 << 20
 
 # A word before folding: letters of either case, digits, all beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -83,6 +87,17 @@ class Matcher:
         return len(words), ranges, ids
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word ranges as code-point ranges of the original text."""
     if not ranges:
@@ -108,54 +123,88 @@ def decontaminate(
     """``docs`` scanned against ``items``.
 
     Returns ``id_col`` and HIT_COLUMNS per document or, with ``drop``, the
-    documents without a hit in their own columns.  Raises ValueError where the
-    items exceed ``most_item_bytes``; scan such a benchmark in parts.
+    documents without a hit in their own columns.
     """
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t")).dropna()
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    if size > most_item_bytes:
-        raise ValueError(f"the items have {size} bytes, over {most_item_bytes}; scan them in parts")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in wanted.collect()])
-    key = uuid.uuid4().hex  # of this call, for the memo of a worker that outlives it
+    passes = max(1, -(-size // most_item_bytes))
 
-    def matcher() -> Matcher:
-        if key not in _matchers:
-            _matchers.clear()
-            _matchers[key] = Matcher(shared.value, window)
-        return _matchers[key]
+    def matcher_of(part: int) -> Callable[[], Matcher]:
+        some = wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == part) if passes > 1 else wanted
+        shared = spark.sparkContext.broadcast([tuple(r) for r in some.collect()])
+        key = uuid.uuid4().hex  # of this call, for the memo of a worker that outlives it
 
-    if drop:
+        def matcher() -> Matcher:
+            if key not in _matchers:
+                _matchers.clear()
+                _matchers[key] = Matcher(shared.value, window)
+            return _matchers[key]
 
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not matcher().scan(t)[1] for t in batch.column(text_at).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+        return matcher
 
+    if drop:
         text_at = docs.columns.index(text_col)
-        return docs.mapInArrow(keep, docs.schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text in batch.column(1).to_pylist():
-                n, ranges, ids = matcher().scan(text)
-                row = (
-                    n,
-                    sum(b - a for a, b in ranges),
-                    len(ids),
-                    hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(),
-                    bool(ranges),
-                    ",".join(f"{a}:{b}" for a, b in original_spans(text, ranges)),
+
+        def clean_of(matcher: Callable[[], Matcher]):
+            def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    clean = [not matcher().scan(t)[1] for t in batch.column(text_at).to_pylist()]
+                    yield batch.filter(pa.array(clean, pa.bool_()))
+
+            return keep
+
+        for part in range(passes):
+            docs = docs.mapInArrow(clean_of(matcher_of(part)), docs.schema)
+            if part < passes - 1:  # one automaton at a time
+                docs = materialized(docs, "clean-so-far")
+        return docs
+
+    def more_of(matcher: Callable[[], Matcher]):
+        def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for text, flat, ids in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                    _, ranges, new = matcher().scan(text)
+                    ranges = merged([*zip(flat[::2], flat[1::2], strict=True), *ranges])
+                    found.append(([x for r in ranges for x in r], sorted({*ids, *new})))
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[], []], kinds, strict=True))], batch.schema.names)
+
+        return more
+
+    def scan_of(matcher: Callable[[], Matcher], before: bool):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[list] = [[] for _ in range(6)]
+                texts = batch.column(1).to_pylist()
+                known = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if before else (((), ()) for _ in texts)
+                for text, (flat, old) in zip(texts, known, strict=True):
+                    n, ranges, ids = matcher().scan(text)
+                    if flat:
+                        ranges, ids = merged([*zip(flat[::2], flat[1::2], strict=True), *ranges]), {*ids, *old}
+                    row = (
+                        n,
+                        sum(b - a for a, b in ranges),
+                        len(ids),
+                        hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(),
+                        bool(ranges),
+                        ",".join(f"{a}:{b}" for a, b in original_spans(text, ranges)),
+                    )
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))],
+                    [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
                 )
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))],
-                [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
+
+        return scan
 
     picked = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = T.StructType([picked.schema[0], *T.StructType.fromDDL(HIT_COLUMNS)])
-    return picked.mapInArrow(scan, schema)
+    if passes > 1:
+        picked = picked.withColumns({"__ranges": F.array().cast("array<long>"), "__items": F.array().cast("array<string>")})
+        for part in range(passes - 1):
+            picked = materialized(picked.mapInArrow(more_of(matcher_of(part)), picked.schema), "hits-so-far")
+    return picked.mapInArrow(scan_of(matcher_of(passes - 1), passes > 1), schema)

@@ -55,5 +55,14 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 7]
     assert decontaminate(df.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate(df, bench.limit(0)).collect())
-    with pytest.raises(ValueError):
-        decontaminate(df, bench, most_item_bytes=10)
+
+
+@pytest.mark.parametrize("most", [400, 3000])
+def test_items_for_several_automata(spark, most):
+    """A benchmark beyond the bound of one automaton: the same hits, by several passes."""
+    d = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet").limit(20)
+    want = sorted(map(tuple, decontaminate(docs, items).collect()))
+    assert sorted(map(tuple, decontaminate(docs, items, most_item_bytes=most).collect())) == want
+    kept = {r.doc_id for r in decontaminate(docs, items, drop=True, most_item_bytes=most).collect()}
+    assert kept == {r[0] for r in want if not r[5]}
