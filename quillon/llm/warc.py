@@ -17,7 +17,9 @@ with the smallest id is a response and others revisit it.
 
 Defined results: a null payload is empty; a null id is always a response; rows
 of equal id and payload have the same type; a null URL leaves out the target;
-bytes that belong to no valid member are skipped; an empty table gives no
+bytes that belong to no valid member are skipped, and so are records without a
+version line or a length that fits, and those of more than ``MOST_RECORD_BYTES``
+decompressed; an empty table gives no
 archive and no record; other columns are ignored.
 """
 
@@ -41,6 +43,8 @@ MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of nothing.
 NOTHING = gzip.compress(b"", 9, mtime=0)
 ROW_BYTES = 4 << 20
+#: A member that grows beyond it is no record: a value of Spark holds less than 2 GB.
+MOST_RECORD_BYTES = 1 << 30
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,14 +78,17 @@ def parse(data: bytes) -> tuple | None:
     if not first.startswith("WARC/"):
         return None
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    block = rest[: int(fields.get("content-length", len(rest)))]
+    length = fields.get("content-length", "")
+    if not re.fullmatch(r"[0-9]{1,18}", length) or int(length) > len(rest):
+        return None
+    block = rest[: int(length)]
     kind = fields.get("warc-type", "")
     http, _, payload = block.partition(b"\r\n\r\n")
     if not fields.get("content-type", "").startswith("application/http"):
         http, payload = b"", block
     stated = fields.get("warc-payload-digest", "").partition(":")[2] or None
     if kind == "revisit":
-        length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        length = re.search(rb"(?im)^content-length:\s*(\d{1,18})\b", http)
         n, found, payload = int(length[1]) if length else None, stated, None
     else:
         n, found = len(payload), digest(payload)
@@ -97,6 +104,7 @@ class Assembler:
         self.raw: list[bytes] = []
         self.out: list[bytes] = []
         self.head = b""
+        self.room = 0
         self.orphans: list[bytes] = []
         self.aligned = False  # a member of this range has ended
         self.found: list[bytes] = []  # records that came out of pieces tried again
@@ -104,11 +112,14 @@ class Assembler:
     def feed(self, piece: bytes) -> bytes | None:
         """The decompressed record that ``piece`` (from a magic to before the next) completes, if any."""
         if self.open is None:
-            self.open, self.raw, self.out, self.head = zlib.decompressobj(31), [], [], b""
+            self.open, self.raw, self.out, self.head, self.room = zlib.decompressobj(31), [], [], b"", MOST_RECORD_BYTES
         try:
-            got = self.open.decompress(piece)
+            got = self.open.decompress(piece, self.room + 1)
         except zlib.error:
             return self._drop(piece)
+        self.room -= len(got)
+        if self.room < 0:
+            return self._drop(piece)
         self.head = (self.head + got[:5])[:5]
         if not b"WARC/".startswith(self.head):
             return self._drop(piece)
@@ -139,9 +150,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"), payload.alias("p")).withColumn("h", F.sha1("p"))
     keys = rows.where(F.octet_length("p") >= least_bytes).select("i", "h")
-    first = keys.groupBy("h").agg(F.min("i").alias("first"))
+    # Written, so that both sides of the join are dealt for it alone and AQE can split a payload that many pages share.
+    first = materialized(keys.groupBy("h").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first"), "warc-first")
     revisits = keys.join(first, "h").where(F.col("i") != F.col("first")).distinct()
-    # Joined by id and digest: a payload that many pages share deals no task more than others.
+    # Joined by id and digest, so that payloads are dealt by page.
     rows = rows.join(revisits, ["i", "h"], "left").select("i", "u", "p", "first")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,19 @@ def test_archives_are_gzip(spark, tmp_path):
     W.write(df, str(tmp_path / "w"))
     plain = b"".join(gzip.decompress(open(f, "rb").read()) for f in glob.glob(str(tmp_path / "w" / "part-*")))
     assert plain.count(b"WARC/1.1\r\n") == 20
+
+
+def test_malformed_records_are_skipped():
+    good = gzip.decompress(W.record("urn:page:1", "u", b"body"))
+    assert W.parse(good)[4] == 4
+    for bad in (b"x", b"100000000", b"-3", b"1e3", b"9" * 40, b""):
+        length = str(good.split(b"Content-Length: ")[1].split(b"\r\n")[0].decode()).encode()
+        assert W.parse(good.replace(b"Content-Length: " + length, b"Content-Length: " + bad, 1)) is None
+    assert W.parse(b"") is None and W.parse(b"WARC/1.1\r\n\r\n") is None
+
+
+def test_members_that_grow_without_end_are_dropped(monkeypatch):
+    monkeypatch.setattr(W, "MOST_RECORD_BYTES", 100_000)
+    state = W.Assembler()
+    bomb, good = W.record("urn:page:1", "u", b"0" * 10_000_000), W.record("urn:page:2", "u", b"body")
+    assert state.feed(bomb) is None and W.parse(state.feed(good))[0] == "response"
