@@ -14,8 +14,9 @@ the rows share is scanned once.  Lists are cut into blocks of bounded size, and
 so are the queries of a list; a task sees one block of each.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a
-component that isn't finite take no part, neither do those of another length
-than most; rows that repeat an id count once, with the smallest vector; a query
+component that isn't finite take no part; vectors of different lengths have no
+distance, so each length is searched by itself; rows that repeat an id count
+once, with the smallest vector; a query
 with fewer neighbours in its lists than asked for searches all lists; fewer
 candidates than k are all returned; an empty table gives an empty result.
 """
@@ -155,14 +156,20 @@ def search(
     Returns query_id, rank (from 1), ``id_col``, score (Euclidean distance).
     """
     spark = vectors.sparkSession
-    out_schema = f"query_id long, rank int, `{id_col}` long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & _usable(F.col("v")))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return spark.createDataFrame([], out_schema)
-    size = common["n"]
-    rows = rows.where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & _usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
+    sizes = [r.n for r in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
+    found = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    for i, size in enumerate(sizes):
+        of_size = rows.where(F.size("v") == size) if len(sizes) > 1 else rows
+        one = _search(of_size, size, is_query, k, id_col, probed, least_probed, most_lists)
+        found = found.unionByName(one) if i else one
+    return found
+
+
+def _search(rows: DataFrame, size: int, is_query: Column, k: int, id_col: str, probed: float | None, least_probed: int, most_lists: int) -> DataFrame:
+    """The same among rows (id, v) of vectors of one length."""
+    spark = rows.sparkSession
     rows = materialized(rows.select("id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit("v"), "v").alias("b")), "vectors")
     by_id = Window.partitionBy("a", "b").orderBy("id")
     entries = rows.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
