@@ -5,11 +5,13 @@ indexes.  A chunk is a fixed-size block of ids, transposed into byte planes (or
 bit planes), each plane compressed with zstandard on its own; the chunk index
 has the offset, number of ids and plane lengths of each.  The document index
 has the ids of the documents and their numbers of tokens, so that any document
-is found without decoding what lies before it.
+is found without decoding what lies before it (``seek``, ``fetch``).
 
 Shards are written by Spark's own text writer, one row a shard and the end mark
 ``QBPE`` as separator, and read with the ``binaryFile`` source: any file system
-that Spark reaches will do, and no executor leaves a file of its own.
+that Spark reaches will do, and no executor leaves a file of its own.  A file holds
+at most ``SHARDS_PER_FILE`` shards, so that one value of the source stays far
+below its limit of 2 GB.
 
 Defined results: null and empty texts give the end id alone; rows of equal id
 are kept, ordered by their text; a null id sorts first; an empty table gives no
@@ -23,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,9 @@ from .common import fresh_path, materialized
 BEGIN, END = b"QBP1", b"QBPE"
 CHUNK_IDS = 1 << 16
 SHARD_IDS = 4 << 20
+SHARDS_PER_FILE = 64
+#: Rows of one id are dealt by so many of their first characters as well.
+PREFIX = 32
 LEVEL = 3
 
 _CHUNK = struct.Struct("<QI32I")
@@ -82,45 +88,86 @@ def encode_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int],
     return _SHARD.pack(BEGIN, _SHARD.size + len(whole), *place) + whole
 
 
-def read_shard(data: memoryview) -> tuple[tuple[int, int], list[int | None], np.ndarray, Iterator[np.ndarray]]:
-    """Place, document ids, lengths, and the blocks of ids one at a time."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    magic, size, *place = _SHARD.unpack_from(data)
-    if magic != BEGIN:
-        raise ValueError("not a shard")
-    n_chunks, n_docs, count, bits = _TAIL.unpack_from(data, size - _TAIL.size)
-    docs = unpack(data[size - _TAIL.size - n_docs : size - _TAIL.size])
-    index = unpack(data[size - _TAIL.size - n_docs - n_chunks : size - _TAIL.size - n_docs])
-    valid, numbers, lengths = np.frombuffer(docs, np.uint8, count), np.frombuffer(docs, "<i8", count, count), np.frombuffer(docs, "<u8", count, 9 * count)
+@dataclass
+class Shard:
+    """What the indexes of a shard say; blocks of ids are decoded when asked for."""
+
+    data: memoryview
+    place: tuple[int, int]
+    doc_ids: list[int | None]
+    lengths: np.ndarray
+    bits: bool
+    chunks: list[tuple]
+
+    @classmethod
+    def open(cls, data: memoryview) -> Shard:
+        unpack = zstandard.ZstdDecompressor().decompress
+        magic, size, *place = _SHARD.unpack_from(data)
+        if magic != BEGIN:
+            raise ValueError("not a shard")
+        n_chunks, n_docs, count, bits = _TAIL.unpack_from(data, size - _TAIL.size)
+        docs = unpack(data[size - _TAIL.size - n_docs : size - _TAIL.size])
+        index = unpack(data[size - _TAIL.size - n_docs - n_chunks : size - _TAIL.size - n_docs])
+        valid, numbers, lengths = np.frombuffer(docs, np.uint8, count), np.frombuffer(docs, "<i8", count, count), np.frombuffer(docs, "<u8", count, 9 * count)
+        names = [int(d) if v else None for d, v in zip(numbers, valid, strict=True)]
+        return cls(data, tuple(place), names, lengths.astype(np.int64), bool(bits), list(_CHUNK.iter_unpack(index)))
+
+    def block(self, k: int) -> np.ndarray:
+        """The ids of one chunk."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        at, n, *sizes = self.chunks[k]
+        planes = []
+        for size in sizes[: 32 if self.bits else 4]:
+            planes.append(unpack(self.data[at : at + size]))
+            at += size
+        return from_planes(planes, n)
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        return map(self.block, range(len(self.chunks)))
+
+    def document(self, k: int) -> np.ndarray:
+        """The ids of the k-th document, of which only the chunks that hold them are decoded."""
+        first = int(self.lengths[:k].sum())
+        last = first + int(self.lengths[k])
+        ends = np.cumsum([n for _, n, *_ in self.chunks])
+        some = range(int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, last, "left")) + 1)
+        if first == last:
+            return np.zeros(0, "<u4")
+        held = np.concatenate([self.block(c) for c in some])
+        before = int(ends[some[0] - 1]) if some[0] else 0
+        return held[first - before : last - before]
+
+
+def shards_in(data: bytes) -> Iterator[Shard]:
+    """The shards of a file."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        _, size, *_ = _SHARD.unpack_from(view, at)
+        yield Shard.open(view[at : at + size])
+        at += size + len(END)
 
-    def blocks() -> Iterator[np.ndarray]:
-        for at, n, *sizes in _CHUNK.iter_unpack(index):
-            planes = []
-            for k in sizes[: 32 if bits else 4]:
-                planes.append(unpack(data[at : at + k]))
-                at += k
-            yield from_planes(planes, n)
 
-    return tuple(place), [int(d) if v else None for d, v in zip(numbers, valid, strict=True)], lengths.astype(np.int64), blocks()
+def seek(data: bytes, doc_id: int | None) -> Iterator[np.ndarray]:
+    """The ids of each document of that id in a file of shards."""
+    for shard in shards_in(data):
+        for k, name in enumerate(shard.doc_ids):
+            if name == doc_id:
+                yield shard.document(k)
 
 
 def documents_in(data: bytes) -> Iterator[tuple[tuple[int, int], int | None, int, np.ndarray]]:
     """(place of the shard, document id, its start in the shard, its ids) of a file of shards."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        _, size, *_ = _SHARD.unpack_from(view, at)
-        place, doc_ids, lengths, blocks = read_shard(view[at : at + size])
-        held, start = np.zeros(0, "<u4"), 0
-        for doc_id, n in zip(doc_ids, lengths.tolist(), strict=True):
+    for shard in shards_in(data):
+        blocks, held, start = shard.blocks(), np.zeros(0, "<u4"), 0
+        for doc_id, n in zip(shard.doc_ids, shard.lengths.tolist(), strict=True):
             parts, have = [held], len(held)
             while have < n:
                 parts.append(next(blocks))
                 have += len(parts[-1])
             whole = np.concatenate(parts) if len(parts) > 1 else held
             held = whole[n:]
-            yield place, doc_id, start, whole[:n]
+            yield shard.place, doc_id, start, whole[:n]
             start += n
-        at += size + len(END)
 
 
 # ---------------------------------------------------------------- encoding
@@ -134,9 +181,9 @@ class Encoder:
     feed, so those units are encoded apart and remembered.
     """
 
-    ODD = re.compile(r"^\s|\s\s|\s$")
     CUT = re.compile(r"(?<=\S)(?= \S)")
-    MOST_UNITS, MOST_CHARS = 1_200_000, 16_000_000
+    #: Of either generation of the memo.
+    MOST_UNITS, MOST_CHARS = 700_000, 9_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,48 +191,76 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # A token of a byte-level vocabulary has a character for each of its bytes.
+        names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.sizes = np.array([0 if t is None or i in added else len(t) for i, t in enumerate(names)], np.int64)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def _learn(self, memo: dict[str, bytes], units: set[str], spaced: bool) -> None:
-        for part in range(0, len(keys := list(units)), 4096):
-            some = keys[part : part + 4096]
-            texts = [u if not spaced or u[:1] == "\n" else " " + u for u in some]
-            for unit, got in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                memo[unit] = np.array(got.ids, "<u4").tobytes()
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Units that may follow each other, encoded as one text: the ids are cut where the bytes of units end."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])
+        cuts = np.searchsorted(ends, wanted)
+        if not len(ids) or cuts[-1] >= len(ends) or not np.array_equal(ends[cuts], wanted) or ends[-1] != wanted[-1]:
+            return self._alone(texts)  # a token that isn't made of bytes
+        raw, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, units: set[str]) -> None:
+        """Units after the first of a text, with their blank or line feed before."""
+        joined = [u for u in units if u and not u[-1].isspace()]
+        for some, encode in ((joined, self._together), ([u for u in units if not u or u[-1].isspace()], self._alone)):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                self.later.update(zip(part, encode([u if u[:1] == "\n" else " " + u for u in part]), strict=True))
         self.held += sum(map(len, units))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if self.held > self.MOST_CHARS or len(self.later) > self.MOST_UNITS:
+            self.older, self.later, self.held = self.later, {}, 0
             self.first.clear()
-            self.later.clear()
-            self.held = 0
         known: list[list[bytes | None]] = []
-        unknown: list[list[str]] = []  # the units of texts that hold one that isn't remembered
+        holes: list[tuple[list[str], list[bytes | None], list[int]]] = []  # of texts with a unit that isn't remembered
         get, first = self.later.get, self.first.get
         for text in texts:
-            if not text:
-                units = []
-            elif self.ODD.search(text):
-                start, *rest = self.CUT.split(text)
-                units = [start, *[u[1:] for u in rest]]
-            else:
-                units = text.replace("\n", " \n").split(" ")
+            units = self.units(text) if text else []
             found = list(map(get, units))
             if units:
                 found[0] = first(units[0])
             known.append(found)
-            unknown.append(units if None in found else [])
-        self._learn(self.first, {u[0] for u, k in zip(unknown, known, strict=True) if u and k[0] is None}, spaced=False)
-        missing = {x for u, k in zip(unknown, known, strict=True) if u for x, v in zip(u[1:], k[1:], strict=True) if v is None}
-        self._learn(self.later, missing, spaced=True)
-        for units, found in zip(unknown, known, strict=True):
-            if units:
-                found[:] = [self.first[units[0]], *map(self.later.__getitem__, units[1:])]
+            if None in found:
+                holes.append((units, found, [i for i, v in enumerate(found) if v is None]))
+        starts = list({units[0] for units, _, at in holes if not at[0]})
+        for at in range(0, len(starts), 4096):
+            self.first.update(zip(starts[at : at + 4096], self._alone(starts[at : at + 4096]), strict=True))
+        self.held += sum(map(len, starts))
+        missing = {units[i] for units, _, at in holes for i in at if i}
+        for unit in missing & self.older.keys() if self.older else ():
+            self.later[unit] = self.older.pop(unit)
+            self.held += len(unit)
+            missing.discard(unit)
+        self._learn(missing)
+        for units, found, at in holes:
+            for i in at:
+                found[i] = self.later[units[i]] if i else self.first[units[0]]
         return [b"".join(found) for found in known]
 
+    def units(self, text: str) -> list[str]:
+        """What stands between blanks; a line feed stays with what follows it."""
+        words = text.split()
+        if sum(map(len, words)) + len(words) - 1 != len(text):  # white space at an end, or more than one character of it between words
+            start, *rest = self.CUT.split(text)
+            return [start, *[u[1:] for u in rest]]
+        return words if text.count(" ") == len(words) - 1 else text.replace("\n", " \n").split(" ")
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -202,7 +277,8 @@ def encoder(path: str) -> Encoder:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bits: bool = False, shard_ids: int = SHARD_IDS) -> None:
     """Encodes every text, appends ``end_id``, and writes shards in ascending order of ids to ``path``."""
-    ordered = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
+    ordered = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    ordered = ordered.repartitionByRange(F.col("d"), F.substring("t", 1, PREFIX)).sortWithinPartitions("d", "t")
     end = np.array([end_id], "<u4").tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +308,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             yield flush()
 
     rows = ordered.mapInArrow(shards, "shard binary")
-    rows.select(F.col("shard").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", END.decode()).text(path)
+    rows.select(F.col("shard").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", END.decode()).option("maxRecordsPerFile", SHARDS_PER_FILE).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -246,13 +322,31 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], ["p", "k", id_col, "s", "n_tokens", "ids_crc32"])
 
     found = materialized(files.mapInArrow(decode, f"p long, k long, `{id_col}` long, s long, n_tokens long, ids_crc32 long"), "tokens-read")
-    # A row per shard: a few thousand ids to one, so that one task can order them.
+    # What stands before a shard: in its partition, and in partitions before, of which there are a few thousand.
     totals = found.groupBy("p", "k").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("p", "k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("p", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sums = totals.groupBy("p").agg(F.sum("n").alias("whole"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("p", F.coalesce(F.sum("whole").over(before(Window.orderBy("p"))), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("p").orderBy("k"))), F.lit(0))
+    starts = totals.select("p", "k", inside.alias("inside")).join(sums, "p").select("p", "k", (F.col("first") + F.col("inside")).alias("base"))
     return found.join(starts, ["p", "k"]).select(id_col, (F.col("base") + F.col("s")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the wanted documents (a short list); only their chunks are decoded."""
+    wanted = set(doc_ids)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows = [(name, shard.document(k).tolist()) for shard in shards_in(content.as_py()) for k, name in enumerate(shard.doc_ids) if name in wanted]
+                names, ids = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return files.mapInArrow(look, "doc_id long, ids array<long>")
+
+
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, bits: bool = False) -> DataFrame:
     """Writes the shards (to a new folder of the shared one unless ``path`` says where) and reads them back."""
     spark = docs.sparkSession

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm.bitplane import Encoder, documents_in, encode_shard, from_planes, to_planes, token_files, END
+from quillon.llm.bitplane import END, Encoder, documents_in, encode_shard, fetch, from_planes, seek, to_planes, token_files, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -43,6 +43,34 @@ def test_units_give_the_librarys_ids(text):
     assert np.frombuffer(OWN.encode_batch([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_memo_of_two_generations(monkeypatch):
+    monkeypatch.setattr(Encoder, "MOST_UNITS", 3)
+    own = Encoder(PATH)
+    texts = ["a bb  c", "dd bb\nc ee ", "a bb c dd", "<|endoftext|> x", "ff bb <|endoftext|> y\n\n", "", "é 😀 ü bb"]
+    for _ in range(3):
+        for t in texts:
+            assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids or "<|" in t
+    assert len(own.later) <= 12
+
+
+def test_any_document_is_found_by_the_indexes():
+    draw = np.random.default_rng(3)
+    docs = [draw.integers(0, 50000, n).astype("<u4") for n in (0, 5, 16, 1, 40, 0, 33, 16)]
+    for bits in (False, True):
+        data = encode_shard(np.concatenate(docs), list(range(8)), [len(d) for d in docs], bits=bits, chunk_ids=16) + END
+        data += encode_shard(docs[4], [4], [40], (0, 1), bits, 16) + END
+        for k, d in enumerate(docs):
+            assert [x.tolist() for x in seek(data, k)] == [d.tolist()] * (2 if k == 4 else 1)
+        assert list(seek(data, 99)) == []
+
+
+def test_fetch(spark, tmp_path):
+    rows = [(i, f"text number {i} " * (i % 50)) for i in range(200)]
+    write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), PATH, shard_ids=500)
+    got = {r.doc_id: r.ids for r in fetch(spark, str(tmp_path / "t"), [3, 149, 1000]).collect()}
+    assert got == {i: [*LIBRARY.encode(rows[i][1], add_special_tokens=False).ids, 0] for i in (3, 149)}
+
+
 def test_whole_table(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     rows = duckdb.sql(f"select doc_id, text from '{path}'").fetchall()
