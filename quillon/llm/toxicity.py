@@ -202,8 +202,8 @@ def features(words: set[bytes]) -> set[bytes]:
     return out
 
 
-def train(toxic: list[set[bytes]], clean: list[set[bytes]], share_toxic: float, base: CharacterModel) -> Model:
-    """From the distinct words of texts of either label, the share of toxic ones among all labels, and the corpus' characters.
+def train(toxic: list[bytes], clean: list[bytes], share_toxic: float, base: CharacterModel) -> Model:
+    """From the distinct words, joined by blanks, of texts of either label, the share of toxic ones among all labels, and the corpus' characters.
 
     Only counts of features are held, never the features of each text.
     """
@@ -213,11 +213,11 @@ def train(toxic: list[set[bytes]], clean: list[set[bytes]], share_toxic: float,
         return model
     in_bad: Counter[bytes] = Counter()
     for words in toxic:
-        in_bad.update(features(words))
+        in_bad.update(features(set(words.split())))
     in_bad = Counter({f: n for f, n in in_bad.items() if n >= 3})
     in_good: Counter[bytes] = Counter()
     for words in clean:
-        in_good.update(features(words) & in_bad.keys())
+        in_good.update(features(set(words.split())) & in_bad.keys())
 
     def weight(f: bytes) -> float:
         """Likelihood ratio of the feature's counts against no difference; 0 where clean texts have it more often."""
@@ -232,7 +232,7 @@ def train(toxic: list[set[bytes]], clean: list[set[bytes]], share_toxic: float,
     index = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(toxic) + len(clean), len(chosen)), np.float32)
     for i, words in enumerate([*toxic, *clean]):
-        x[i, [index[f] for f in features(words) & index.keys()]] = 1
+        x[i, [index[f] for f in features(set(words.split())) & index.keys()]] = 1
     y = np.zeros(len(x), np.float32)
     y[: len(toxic)] = 1
     # Adam on the logistic loss with a small quadratic penalty.
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # Of a repeated id one row is learned from; of a text only its distinct words reach the driver.
         one = texts.join(F.broadcast(ids), "d").groupBy("d").agg(F.min("t").alias("t")).select("d", "t")
         rows = one.mapInArrow(words, T.StructType([one.schema["d"], T.StructField("words", T.BinaryType())])).collect()
-        picked[y] = [set(bytes(r.words).split()) for r in sorted(rows, key=lambda r: r.d)]
+        picked[y] = [bytes(r.words) for r in sorted(rows, key=lambda r: r.d)]
     return train(picked[1], picked[0], n.get(1, 0) / max(1, sum(n.values())), base)
 
 
