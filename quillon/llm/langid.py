@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,14 +72,18 @@ class Grams:
         for part in ngrams(text):
             total += np.bincount(part, minlength=1 << BUCKET_BITS)
         at = np.flatnonzero(total)
-        return cls(at.astype(np.uint16), total[at])
+        return cls(at.astype(np.uint16), total[at].astype(np.min_scalar_type(total.max())))
 
-    def __post_init__(self) -> None:
-        self.ends = np.cumsum(self.counts)
+    @classmethod
+    def packed(cls, buckets: memoryview, counts: memoryview) -> Grams:
+        """Of the bytes of both arrays, which are not copied; counts are as wide as the largest needs."""
+        at = np.frombuffer(buckets, "<u2")
+        return cls(at, np.frombuffer(counts, f"<u{counts.nbytes // len(at)}") if len(at) else np.zeros(0, np.uint8))
 
     def drawn(self, draw: np.random.Generator, n: int) -> np.ndarray:
         """n of the text's n-grams, all of them equally likely."""
-        return self.buckets[np.searchsorted(self.ends, draw.integers(0, self.ends[-1], n), side="right")]
+        ends = np.cumsum(self.counts, dtype=np.int64)
+        return self.buckets[np.searchsorted(ends, draw.integers(0, ends[-1], n), side="right")]
 
 
 @dataclass
@@ -188,12 +193,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             found = [(lang, Grams.of(t)) for t, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if LETTER.search(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang for lang, _ in found], pa.string()), *(pa.array([x.astype(k).tobytes() for _, g in found for x in [getattr(g, n)]], pa.binary()) for n, k in (("buckets", "<u2"), ("counts", "<u4")))], ["lang", "b", "n"]
+                [pa.array([lang for lang, _ in found], pa.string()), *(pa.array([x.astype(x.dtype.newbyteorder("<")).tobytes() for _, g in found for x in [getattr(g, n)]], pa.binary()) for n in ("buckets", "counts"))], ["lang", "b", "n"]
             )
 
-    made = some.mapInArrow(count, "lang string, b binary, n binary").collect()
-    made = sorted((r.lang, bytes(r.b), bytes(r.n)) for r in made)
-    return train([(Grams(np.frombuffer(b, "<u2"), np.frombuffer(n, "<u4").astype(np.int64)), lang) for lang, b, n in made if n])
+    # The driver reads the counts where Arrow has put them: rows of Python would hold them several times over.
+    made = some.mapInArrow(count, "lang string, b binary, n binary").toArrow()
+    made = made.take(pc.sort_indices(made, [(c, "ascending") for c in made.column_names])).combine_chunks()
+    packed = zip(made.column(0), made.column(1), made.column(2), strict=True)
+    model = train([(Grams.packed(memoryview(b.as_buffer()), memoryview(n.as_buffer())), lang.as_py()) for lang, b, n in packed if n.as_buffer().size])
+    del made, packed
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", drop: bool = False) -> DataFrame:

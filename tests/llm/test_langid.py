@@ -37,6 +37,22 @@ def test_held_out_accuracy_and_brute_force(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, r in rows.items() if not r.rejected}
 
 
+def test_the_driver_holds_narrow_counts(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(L, "train", rows.extend)
+    L.fit(spark.read.parquet(PATH))
+    held = sum(a.nbytes for g, _ in rows for a in vars(g).values())
+    assert len(rows) > 300 and held <= 4 * sum(len(g.buckets) for g, _ in rows)
+
+
+def test_packed_counts_are_the_same():
+    for text in ("a", "the house " * 40, "la " * 70000):
+        g = L.Grams.of(text)
+        p = L.Grams.packed(memoryview(g.buckets.tobytes()), memoryview(g.counts.tobytes()))
+        whole = np.bincount(np.concatenate(list(L.ngrams(text))), minlength=1 << L.BUCKET_BITS)
+        assert np.array_equal(p.buckets, np.flatnonzero(whole)) and np.array_equal(p.counts, whole[whole > 0])
+
+
 def test_slices_change_nothing(monkeypatch):
     text = "Ein längerer Satz über ñandú, été and so on. " * 50
     whole = np.sort(np.concatenate(list(L.ngrams(text))))
