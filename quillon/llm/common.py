@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts go to Python and come back so many at a time, as both sides hold several batches of each task.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,26 +51,45 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffle files of a query go when the query ends: for queries whose rows are written and read again."""
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def _with_settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def shuffles_freed(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends: for queries whose rows are written and read again."""
+    return _with_settings(spark, {SHUFFLE_CLEANUP: "true"})
+
+
+def short_batches(spark: SparkSession):
+    """Within it, a query that is planned sends ``BATCH_ROWS`` rows to Python at a time, or as many as the session says if those are fewer."""
+    rows = int(spark.conf.get(ARROW_ROWS))
+    return _with_settings(spark, {ARROW_ROWS: str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)})
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``BATCH_ROWS`` at a time, whatever the session's batches hold."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(first, BATCH_ROWS)
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
+def materialized(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
     Cuts lineage in a way that survives the loss of executors, and keeps an
     expensive Python stage from running once per consumer.  ``discard`` deletes
-    the folder once nothing reads it any more.
+    the folder once nothing reads it any more.  ``texts``: whole texts go to Python.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    with shuffles_freed(spark):
+    with shuffles_freed(spark), short_batches(spark) if texts else nullcontext():
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

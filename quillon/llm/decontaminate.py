@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialized
+from .common import materialized, sliced
 
 WINDOW = 10
 #: Bytes of items in one automaton, which every Python worker builds (about 450 bytes of memory for each); more items are scanned for in several passes.
@@ -148,7 +148,7 @@ def decontaminate(
 
         def clean_of(matcher: Callable[[], Matcher]):
             def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in sliced(batches):
                     clean = [not matcher().scan(t)[1] for t in batch.column(text_at).to_pylist()]
                     yield batch.filter(pa.array(clean, pa.bool_()))
 
@@ -162,7 +162,7 @@ def decontaminate(
 
     def more_of(matcher: Callable[[], Matcher]):
         def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 found = []
                 for text, flat, ids in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
                     _, ranges, new = matcher().scan(text)
@@ -175,7 +175,7 @@ def decontaminate(
 
     def scan_of(matcher: Callable[[], Matcher], before: bool):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 out: list[list] = [[] for _ in range(6)]
                 texts = batch.column(1).to_pylist()
                 known = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if before else (((), ()) for _ in texts)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out, materialized
+from .common import bounded_sample, held_out, materialized, sliced
 
 DIMENSIONS = 16
 BUCKET_BITS = 16
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     some = rows.join(F.broadcast(ids), "d").groupBy("d").agg(F.min(F.struct("t", "lang")).alias("x")).select("d", "x.t", "x.lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [(lang, Grams.of(t)) for t, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if LETTER.search(t)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang for lang, _ in found], pa.string()), *(pa.array([x.astype(x.dtype.newbyteorder("<")).tobytes() for _, g in found for x in [getattr(g, n)]], pa.binary()) for n in ("buckets", "counts"))], ["lang", "b", "n"]
@@ -213,13 +213,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         at = docs.columns.index(text_col)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not shared.value.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(keep, docs.schema)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shared.value.predict(t) for t in batch.column(2).to_pylist()]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             arrays = [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]

@@ -60,7 +60,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialized
+from .common import discard, materialized, sliced
 
 WORDS = 5
 #: Similarity of a link, as inner * 7 >= (a + b) * 3, which is inner >= 3/4 of the union.
@@ -277,7 +277,7 @@ def candidates(texts: DataFrame, keys_of, bits: int, name: str, width: int = ID_
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held, salt, seen = [], [], 0, TaskContext.get().partitionId() << 20, set()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 if len(s) < 3:
@@ -314,7 +314,7 @@ def candidates(texts: DataFrame, keys_of, bits: int, name: str, width: int = ID_
         })
 
     packed = texts.select("t").mapInArrow(emit, "bucket int, k long, blob binary")
-    return materialized(packed.groupBy("bucket").applyInPandas(meet, CANDIDATES), name)
+    return materialized(packed.groupBy("bucket").applyInPandas(meet, CANDIDATES), name, texts=True)
 
 
 # ---------------------------------------------------------------- components
@@ -362,7 +362,7 @@ def _sifted(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     sized = pairs.join(of("a", "n", "s").drop("s"), "a").join(of("b", "m", "u").drop("u"), "b").where(_sized("n", "m")).select("a", "b")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, m, s, u = (c.to_pylist() for c in batch.columns[2:])
             keep = [7 * distance(x, y) <= p + q for p, q, x, y in zip(n, m, s, u, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -388,14 +388,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
                     held -= len(memo.popitem(last=False)[1])
             return memo[key]
 
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, s, t = (c.to_pylist() for c in batch.columns)
             keep = [linked(sets(p, x), sets(q, y)) for p, q, x, y in zip(a, b, s, t, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda n, t: texts.select(F.col("node").alias(n), F.col("t").alias(t))
     joined = pairs.join(of("a", "s"), "a").join(of("b", "u"), "b").select("a", "b", "s", "u")
-    return materialized(joined.mapInArrow(check, pairs.select("a", "b").schema), name)
+    return materialized(joined.mapInArrow(check, pairs.select("a", "b").schema), name, texts=True)
 
 
 def _with_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -420,7 +420,7 @@ def _signed(source: DataFrame) -> DataFrame:
     others = [c for c in source.columns if c != "t"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for t in batch.column("t").to_pylist():
                 s = shingles(t)
@@ -431,7 +431,7 @@ def _signed(source: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *made], [*others, "n", "d1", "d2", "sketch", "bands"])
 
     schema = ", ".join(f"{c} long" for c in others)
-    return materialized(source.mapInArrow(sign, f"{schema}, n long, d1 long, d2 long, sketch binary, bands array<struct<band:int,keys:int,need:int>>"), "signatures")
+    return materialized(source.mapInArrow(sign, f"{schema}, n long, d1 long, d2 long, sketch binary, bands array<struct<band:int,keys:int,need:int>>"), "signatures", texts=True)
 
 
 def _named_sets(source: DataFrame, signed: DataFrame) -> DataFrame:
@@ -456,13 +456,13 @@ def _named_sets(source: DataFrame, signed: DataFrame) -> DataFrame:
     asked = asked.select("node", F.nullif("node.r", F.lit(NO_ID)).alias("r"))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [digest(shingles(t)) == (n["d1"], n["d2"]) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     fetched = asked.join(source, F.col("r").eqNullSafe(F.col("d"))).select("node", "t")
     texts = fetched.mapInArrow(same, fetched.schema).groupBy("node").agg(F.min("t").alias("t"))
-    texts = materialized(texts, "compared-texts")
+    texts = materialized(texts, "compared-texts", texts=True)
     links = [_verified(pairs, texts, "sketch-links")]
     held = [nodes, pairs, short, texts, *links]
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized
+from .common import materialized, sliced
 
 BLANK = "▁"
 #: Documents of more characters are giant; their chunks have so many.
@@ -338,25 +338,23 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     long = hashed.join(materialized(_giant(hashed, model, chunk), "giant-pieces"), ["a", "b"]).select(id_col, "t", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in range(0, whole.num_rows, 512):
-                batch = whole.slice(part, 512)
-                texts, known = batch.column(1).to_pylist(), batch.column(2)
-                todo = [t for t, k in zip(texts, known.is_null().to_pylist(), strict=True) if k and t is not None]
-                made = iter(load(model).encode_batch(todo))
-                ids: list[np.ndarray | None] = []
-                for t, k in zip(texts, known, strict=True):
-                    ids.append(None if t is None else np.frombuffer(next(made), "<u4") if not k.is_valid else k.values.to_numpy().astype("<u4"))
-                back = iter(load(model).decode([x.tolist() for x in ids if x is not None]))
-                trip = [None if x is None else next(back) == t.replace(BLANK, " ") for x, t in zip(ids, texts, strict=True)]
-                arrays = [
-                    batch.column(0),
-                    pa.array([None if x is None else x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
-                    pa.array([0 if x is None else len(x) for x in ids], pa.int64()),
-                    pa.array([None if x is None else zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                    pa.array(trip, pa.bool_()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, [id_col, "ids", "n_pieces", "ids_crc32", "round_trip"])
+        for batch in sliced(batches):
+            texts, known = batch.column(1).to_pylist(), batch.column(2)
+            todo = [t for t, k in zip(texts, known.is_null().to_pylist(), strict=True) if k and t is not None]
+            made = iter(load(model).encode_batch(todo))
+            ids: list[np.ndarray | None] = []
+            for t, k in zip(texts, known, strict=True):
+                ids.append(None if t is None else np.frombuffer(next(made), "<u4") if not k.is_valid else k.values.to_numpy().astype("<u4"))
+            back = iter(load(model).decode([x.tolist() for x in ids if x is not None]))
+            trip = [None if x is None else next(back) == t.replace(BLANK, " ") for x, t in zip(ids, texts, strict=True)]
+            arrays = [
+                batch.column(0),
+                pa.array([None if x is None else x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
+                pa.array([0 if x is None else len(x) for x in ids], pa.int64()),
+                pa.array([None if x is None else zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                pa.array(trip, pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, [id_col, "ids", "n_pieces", "ids_crc32", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"
