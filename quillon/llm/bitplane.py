@@ -21,7 +21,6 @@ shard; columns other than id and text are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,12 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialized
+from .common import fresh_path, materialized, short_batches
 
 BEGIN, END = b"QBP1", b"QBPE"
 CHUNK_IDS = 1 << 16
@@ -43,6 +43,8 @@ SHARDS_PER_FILE = 64
 #: Rows of one id are dealt by so many of their first characters as well.
 PREFIX = 32
 LEVEL = 3
+#: Texts are encoded so many bytes at a time, of batches of so many rows: units that repeat in them are looked up once.
+ENCODED_BYTES, ENCODED_ROWS = 6 << 20, 1536
 
 _CHUNK = struct.Struct("<QI32I")
 _SHARD = struct.Struct("<4sQqq")
@@ -173,17 +175,50 @@ def documents_in(data: bytes) -> Iterator[tuple[tuple[int, int], int | None, int
 # ---------------------------------------------------------------- encoding
 
 
+def _white_space(raw: np.ndarray) -> np.ndarray:
+    """Marks every byte of a character that any Unicode version takes for white space, and of few others."""
+    out = _ASCII_SPACE[raw]
+    for lead, follow in _WIDE_SPACE:
+        at = np.flatnonzero(raw == lead)
+        for k, some in enumerate(follow, 1):
+            at = at[at + k < len(raw)]
+            at = at[some[raw[at + k]]]
+        for k in range(len(follow) + 1):
+            out[at + k] = True
+    return out
+
+
+def _bytes_in(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for first, last in ranges:
+        out[first : last + 1] = True
+    return out
+
+
+_ASCII_SPACE = _bytes_in((0x09, 0x0D), (0x1C, 0x20))
+#: First byte, and those that may follow it.
+_WIDE_SPACE = (
+    (0xC2, (_bytes_in((0x85, 0x85), (0xA0, 0xA0)),)),
+    (0xE1, (_bytes_in((0x9A, 0x9A)), _bytes_in((0x80, 0x80)))),
+    (0xE1, (_bytes_in((0xA0, 0xA0)), _bytes_in((0x8E, 0x8E)))),
+    (0xE2, (_bytes_in((0x80, 0x80)), _bytes_in((0x80, 0x8B), (0xA8, 0xA9), (0xAF, 0xAF)))),
+    (0xE2, (_bytes_in((0x81, 0x81)), _bytes_in((0x9F, 0x9F)))),
+    (0xE3, (_bytes_in((0x80, 0x80)), _bytes_in((0x80, 0x80)))),
+)
+
+
 class Encoder:
     """A byte-level BPE tokenizer with a memo of the units between blanks.
 
-    The tokenizer's pre-tokenizer always ends a match before a blank that stands
-    between two characters that aren't white space, and around such a line
-    feed, so those units are encoded apart and remembered.
+    The tokenizer's pre-tokenizer always ends a match before a blank or a line
+    feed that stands between two characters that aren't white space, so what
+    lies between such places is encoded apart and remembered.  A batch's units
+    are cut as bytes, each with the blank or line feed before it, and numbered by
+    Arrow, so that the memo is asked once for a unit of a batch.
     """
 
-    CUT = re.compile(r"(?<=\S)(?= \S)")
     #: Of either generation of the memo.
-    MOST_UNITS, MOST_CHARS = 700_000, 9_000_000
+    MOST_UNITS, MOST_CHARS = 400_000, 6_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -195,71 +230,98 @@ class Encoder:
         names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         added = self.tokenizer.get_added_tokens_decoder()
         self.sizes = np.array([0 if t is None or i in added else len(t) for i, t in enumerate(names)], np.int64)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.later: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _alone(self, units: list[bytes]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast([u.decode("utf-8") for u in units], add_special_tokens=False)]
 
-    def _together(self, texts: list[str]) -> list[bytes]:
+    def _together(self, units: list[bytes]) -> list[bytes]:
         """Units that may follow each other, encoded as one text: the ids are cut where the bytes of units end."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(units).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
         cuts = np.searchsorted(ends, wanted)
         if not len(ids) or cuts[-1] >= len(ends) or not np.array_equal(ends[cuts], wanted) or ends[-1] != wanted[-1]:
-            return self._alone(texts)  # a token that isn't made of bytes
+            return self._alone(units)  # a token that isn't made of bytes
         raw, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, units: set[str]) -> None:
-        """Units after the first of a text, with their blank or line feed before."""
-        joined = [u for u in units if u and not u[-1].isspace()]
-        for some, encode in ((joined, self._together), ([u for u in units if not u or u[-1].isspace()], self._alone)):
+    def _learn(self, units: list[bytes]) -> None:
+        raw = np.frombuffer(b"".join(units), np.uint8)
+        last = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        # Those that begin with a blank or line feed before another character, and don't end in white space.
+        white = _white_space(raw)
+        first = np.concatenate([[0], last[:-1]])
+        starts = _cuttable(raw[first]) & (last - first > 1) & ~white[np.minimum(first + 1, len(raw) - 1)] & ~white[last - 1]
+        joined, single = [u for u, s in zip(units, starts.tolist(), strict=True) if s], [u for u, s in zip(units, starts.tolist(), strict=True) if not s]
+        for some, encode in ((joined, self._together), (single, self._alone)):
             for at in range(0, len(some), 4096):
                 part = some[at : at + 4096]
-                self.later.update(zip(part, encode([u if u[:1] == "\n" else " " + u for u in part]), strict=True))
-        self.held += sum(map(len, units))
+                self.later.update(zip(part, encode(part), strict=True))
+        self.held += len(raw)
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def _ids_of(self, units: list[bytes]) -> list[bytes]:
+        """The ids of distinct units."""
         if self.held > self.MOST_CHARS or len(self.later) > self.MOST_UNITS:
             self.older, self.later, self.held = self.later, {}, 0
-            self.first.clear()
-        known: list[list[bytes | None]] = []
-        holes: list[tuple[list[str], list[bytes | None], list[int]]] = []  # of texts with a unit that isn't remembered
-        get, first = self.later.get, self.first.get
-        for text in texts:
-            units = self.units(text) if text else []
-            found = list(map(get, units))
-            if units:
-                found[0] = first(units[0])
-            known.append(found)
-            if None in found:
-                holes.append((units, found, [i for i, v in enumerate(found) if v is None]))
-        starts = list({units[0] for units, _, at in holes if not at[0]})
-        for at in range(0, len(starts), 4096):
-            self.first.update(zip(starts[at : at + 4096], self._alone(starts[at : at + 4096]), strict=True))
-        self.held += sum(map(len, starts))
-        missing = {units[i] for units, _, at in holes for i in at if i}
-        for unit in missing & self.older.keys() if self.older else ():
-            self.later[unit] = self.older.pop(unit)
-            self.held += len(unit)
-            missing.discard(unit)
-        self._learn(missing)
-        for units, found, at in holes:
-            for i in at:
-                found[i] = self.later[units[i]] if i else self.first[units[0]]
-        return [b"".join(found) for found in known]
-
-    def units(self, text: str) -> list[str]:
-        """What stands between blanks; a line feed stays with what follows it."""
-        words = text.split()
-        if sum(map(len, words)) + len(words) - 1 != len(text):  # white space at an end, or more than one character of it between words
-            start, *rest = self.CUT.split(text)
-            return [start, *[u[1:] for u in rest]]
-        return words if text.count(" ") == len(words) - 1 else text.replace("\n", " \n").split(" ")
+        found = list(map(self.later.get, units))
+        holes = [i for i, got in enumerate(found) if got is None]
+        take, missing = self.older.pop, []
+        for i in holes:
+            unit = units[i]
+            if (got := take(unit, None)) is None:
+                missing.append(unit)
+            else:
+                self.later[unit] = got
+                self.held += len(unit)
+        if missing:
+            self._learn(missing)
+        for i in holes:
+            found[i] = self.later[units[i]]
+        return found
+
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        raw, starts, units = cut_units(texts.fill_null(""))
+        if not len(raw):
+            return [b""] * len(texts)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(units) - 1, [None, pa.py_buffer(units), pa.py_buffer(raw)]).dictionary_encode()
+        known = self._ids_of(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        # Every unit's ids, in the order of the texts.
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        held, at = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size, dtype=np.int64) - size
+        long = size[which]
+        ends = np.concatenate([[0], np.cumsum(long, dtype=np.int64)])
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        place = np.repeat((at[which] - ends[:-1]).astype(kind), long)
+        place += np.arange(ends[-1], dtype=kind)
+        ids = held[place].tobytes()
+        cuts = 4 * ends[np.searchsorted(units, starts)]
+        return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+
+
+def _cuttable(raw: np.ndarray) -> np.ndarray:
+    return (raw == 0x20) | (raw == 0x0A)
+
+
+def cut_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where each text starts, and where each unit does; both with the end of the last."""
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    starts = np.frombuffer(texts.buffers()[1], width, len(texts) + 1, texts.offset * width().itemsize).astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.zeros(0, np.uint8)
+    starts = starts - starts[0]
+    white = _white_space(raw)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[1 : len(raw) - 1] = _cuttable(raw[1:-1]) & ~white[:-2] & ~white[2:]
+    # A text's last character has none after it, and its first none before; an end of a text is a cut.
+    lasts = starts[1:][starts[1:] > starts[:-1]] - 1
+    cut[lasts] = False
+    cut[starts] = True
+    return raw, starts, np.flatnonzero(cut)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -275,6 +337,17 @@ def encoder(path: str) -> Encoder:
 # ---------------------------------------------------------------- operator
 
 
+def _in_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``ENCODED_BYTES`` of the column's texts; a longer text is one by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + ENCODED_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bits: bool = False, shard_ids: int = SHARD_IDS) -> None:
     """Encodes every text, appends ``end_id``, and writes shards in ascending order of ids to ``path``."""
     ordered = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
@@ -294,9 +367,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.binary())], ["shard"])
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                some = batch.slice(first, 512)
-                for name, got in zip(some.column(0).to_pylist(), encoder(tokenizer).encode_batch(some.column(1).to_pylist()), strict=True):
+            for some in _in_bytes(batch, 1):
+                for name, got in zip(some.column(0).to_pylist(), encoder(tokenizer).encode_batch(some.column(1)), strict=True):
                     ids.append(got + end)
                     names.append(name)
                     lengths.append(len(got) // 4 + 1)
@@ -308,7 +380,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             yield flush()
 
     rows = ordered.mapInArrow(shards, "shard binary")
-    rows.select(F.col("shard").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", END.decode()).option("maxRecordsPerFile", SHARDS_PER_FILE).text(path)
+    with short_batches(docs.sparkSession, ENCODED_ROWS):
+        rows.select(F.col("shard").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", END.decode()).option("maxRecordsPerFile", SHARDS_PER_FILE).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

@@ -67,10 +67,10 @@ def shuffles_freed(spark: SparkSession):
     return _with_settings(spark, {SHUFFLE_CLEANUP: "true"})
 
 
-def short_batches(spark: SparkSession):
-    """Within it, a query that is planned sends ``BATCH_ROWS`` rows to Python at a time, or as many as the session says if those are fewer."""
+def short_batches(spark: SparkSession, most: int = BATCH_ROWS):
+    """Within it, a query that is planned sends ``most`` rows to Python at a time, or as many as the session says if those are fewer."""
     rows = int(spark.conf.get(ARROW_ROWS))
-    return _with_settings(spark, {ARROW_ROWS: str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)})
+    return _with_settings(spark, {ARROW_ROWS: str(min(rows, most) if rows > 0 else most)})
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

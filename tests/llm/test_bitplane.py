@@ -3,13 +3,15 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm.bitplane import END, Encoder, documents_in, encode_shard, fetch, from_planes, seek, to_planes, token_files, write_tokens
+from quillon.llm import bitplane
+from quillon.llm.bitplane import END, Encoder, cut_units, documents_in, encode_shard, fetch, from_planes, seek, to_planes, token_files, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -85,3 +87,19 @@ def test_edges(spark):
     null = spark.createDataFrame([(None, "a"), (0, "b")], df.select("doc_id", "text").schema)
     assert {tuple(r)[:3] for r in token_files(null, PATH).collect()} == {(None, 0, 2), (0, 2, 2)}
     assert token_files(df.limit(0), PATH).count() == 0
+
+
+def test_units_of_a_batch_are_cut_as_bytes():
+    texts = ["left out", None, "", "a bb\ncc  dd ", "bb  cc  dd ᠎ x", "\n\n a", "é 😀\n—x\x85 y", " ", "a bb\ncc"]
+    for kind in (pa.string(), pa.large_string()):
+        got = OWN.encode_batch(pa.array(texts, kind).slice(1))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    raw, starts, units = cut_units(pa.array(texts[3:5]))
+    assert [bytes(raw[a:b]).decode() for a, b in zip(units, units[1:])] == ["a", " bb", "\ncc  dd ", "bb  cc  dd ᠎ x"] and starts.tolist() == [0, 12, len(raw)]
+
+
+def test_slices_by_bytes_hold_every_text(monkeypatch):
+    monkeypatch.setattr(bitplane, "ENCODED_BYTES", 10)
+    texts = ["x" * 4, None, "x" * 6, "", "x" * 50, "x", "x" * 10, "x"]
+    parts = [b.column(0).to_pylist() for b in bitplane._in_bytes(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0)]
+    assert sum(parts, []) == texts and [sum(len(t or "") for t in p) for p in parts] == [10, 50, 1, 10, 1]
